@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 
 _EDGE = re.compile(r"[^\w]+")
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+_MULT = 0x9E3779B97F4A7C15
 #: Rows that are handled at a time, and bytes of text after which a slice ends: bounds a Python worker's memory.
 SLICE_ROWS, SLICE_BYTES = 2000, 8_000_000
 
@@ -60,7 +60,7 @@ def gram_sets(col: pa.Array, n: int) -> list[np.ndarray]:
     grams = np.zeros(total, np.uint64)
     for k in range(n):
         if total > k:
-            grams[: total - k] += mix(hashes[k:] + np.uint64(k + 1) * _MULT)
+            grams[: total - k] += mix(hashes[k:] + np.uint64((k + 1) * _MULT % 2**64))
     grams = mix(grams)
     out = []
     for a, b in zip(ends[:-1], ends[1:]):
