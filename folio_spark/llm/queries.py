@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.llm import archive, fingerprints, media, mixing, ngram_join, packing, quality
+from folio_spark.llm import archive, fingerprints, license_scan, media, mixing, ngram_join, packing, quality, secret_scan, toxicity
 from folio_spark.session import scratch, ship
 
 
@@ -14,6 +14,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_pairs(_read(spark, sf_dir, "documents"))
 
@@ -39,6 +47,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_pairs(_read(spark, sf_dir, "documents"))
 
@@ -47,5 +59,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_fingerprints, op4_media_columns, op5_mixing, op6_web_archive, op7_quality, op9_ngram_join, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_fingerprints, op4_media_columns, op5_mixing, op6_web_archive, op7_quality, op8_toxicity, op9_ngram_join, op10_packing)}
 SQL = {"op6_web_archive": archive.SQL, "op10_packing": packing.SQL.format(docs="documents")}
