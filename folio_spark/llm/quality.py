@@ -107,12 +107,10 @@ def _add(df: DataFrame) -> np.ndarray | None:
     return np.array([v for _, v in sorted((r.pos, r.v) for r in rows)]) if rows else None
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict | None:
-    """The model, from every labelled document; None if there is nothing to learn."""
+def train(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> dict | None:
+    """The model, from the statistics (doc_id, x) of every labelled document; None if there is nothing to learn."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("double").alias("y"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(known, "doc_id")
-    rows = rows.mapInArrow(_labelled, "doc_id long, y double, x array<double>")
-    rows = written(rows, "quality")  # statistics only, no text
+    rows = written(rows.join(known, "doc_id").select("doc_id", "y", "x"), "labelled")
     s = rows.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
     if not s:
         return None
@@ -157,10 +155,16 @@ def _bin(score: np.ndarray) -> np.ndarray:
     return np.clip(((score + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for p in slices(b, "text"):
-            yield pa.RecordBatch.from_arrays([p.column(0).cast(pa.int64()), p.column(p.schema.get_field_index("y")), pa.array(list(statistics(p.column(p.schema.get_field_index("text")))), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and x, the statistics, of each row; the text is read once and not carried on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in slices(b, "text"):
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(list(statistics(p.column(1))), pa.list_(pa.float64()))], ["doc_id", "x"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, x array<double>"), "statistics")
 
 
 def probability(model: dict | None, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,13 +178,14 @@ def probability(model: dict | None, x: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, score, probability, keep, of every document."""
-    model = train(docs, labels, id_col, text_col, label_col)
+    rows = measured(docs, id_col, text_col)
+    model = train(rows, labels, id_col, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, "text"):
-                score, p = probability(model, statistics(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(p, pa.float64()), pa.array(p >= KEEP)], ["doc_id", "score", "probability", "keep"])
+            if b.num_rows:
+                score, p = probability(model, np.array(b.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(p, pa.float64()), pa.array(p >= KEEP)], ["doc_id", "score", "probability", "keep"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, probability double, keep boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, score double, probability double, keep boolean")
