@@ -35,6 +35,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9-]*)(
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACES = re.compile(r"\s+")
 
+#: Found references up to which they are broadcast; beyond that the pages are shuffled to them.
+BROADCAST_REFS = 200_000
 ITEM = "struct<pos: int, kind: string, text: string, media_type: string, url: string, digest: string, caption: string>"
 _FIELDS = [("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("media_type", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("caption", pa.string())]
 
@@ -136,39 +138,44 @@ class _Captioned(list):
         self.text = text
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, pos, digest) of each media reference."""
+    for b in batches:
+        rows = [(k, x["pos"], x["digest"]) for k, u, p in zip(*(c.to_pylist() for c in b.columns)) for x in parse(p, u) if x["kind"] == "media"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["key", "pos", "digest"])
+
 
-    part, n = TaskContext.get().partitionId(), 0
-    kind = pa.list_(pa.struct(_FIELDS))
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The result's rows, from page_id, url, html and the found payloads."""
+    kind = pa.list_(pa.struct(_FIELDS + [("payload_id", pa.string()), ("payload_bytes", pa.int64())]))
     for b in batches:
         for i in range(0, b.num_rows, 500):
             piece = b.slice(i, 500)
-            ids, urls, pages = (piece.column(k) for k in range(3))
-            seqs = [parse(p, u) for p, u in zip(pages.to_pylist(), urls.to_pylist())]
-            uid = pa.array([(part << 40) + n + k for k in range(len(seqs))], pa.int64())
-            n += len(seqs)
-            yield pa.RecordBatch.from_arrays([uid, ids, urls, pa.array(seqs, kind)], ["uid", "page_id", "url", "items"])
+            seqs = [parse(p, u) for p, u in zip(piece.column(2).to_pylist(), piece.column(1).to_pylist())]
+            resolved = []
+            for seq, found in zip(seqs, piece.column(3).to_pylist()):
+                by = {x["pos"]: x for x in found or []}
+                for x in seq:
+                    x |= {k: by.get(x["pos"], {}).get(k) for k in ("payload_id", "payload_bytes")}
+                resolved.append(len(by))
+            counts = [[sum(x["kind"] == k for x in seq) for seq in seqs] for k in ("text", "media")]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(c, pa.int32()) for c in counts), pa.array(resolved, pa.int32()), pa.array(seqs, kind)], ["page_id", "url", "n_text", "n_media", "n_resolved", "items"])
 
 
 def interleave(pages: DataFrame, payloads: DataFrame) -> DataFrame:
     """page_id, url, n_text, n_media, n_resolved, items: array of ITEM with payload_id and payload_bytes. pages: page_id, url,
-    html. payloads: digest, payload_id (string), payload_bytes (long)."""
-    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = written(parsed.mapInArrow(_parse_batches, f"uid long, page_id long, url string, items array<{ITEM}>"), "media")
-    refs = parsed.select("uid", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("x")).select("uid", "x.pos", "x.digest")
-    one = payloads.where("digest is not null").groupBy("digest").agg(F.min(F.struct("payload_id", "payload_bytes")).alias("payload"))
-    found = refs.join(one, "digest").groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "payload"))).alias("payloads"))
-    rows = parsed.join(found, "uid", "left")
-    items = F.transform("items", lambda x: x.withField("payload_id", F.col("payloads")[x["pos"]]["payload_id"]).withField("payload_bytes", F.col("payloads")[x["pos"]]["payload_bytes"]))
-    return rows.select(
-        "page_id",
-        "url",
-        F.size(F.filter("items", lambda x: x["kind"] == "text")).alias("n_text"),
-        F.size(F.filter("items", lambda x: x["kind"] == "media")).alias("n_media"),
-        F.coalesce(F.size("payloads"), F.lit(0)).alias("n_resolved"),
-        items.alias("items"),
-    )
+    html. payloads: digest, payload_id (string), payload_bytes (long). Pages are parsed for their references and again for
+    their sequences, so that no sequence is shuffled or stored; what was found is broadcast if it is checked to be small."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    part = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
+    rows = rows.withColumn("key", F.md5(F.concat_ws("\u0001", part("url"), part("html"))))
+    refs = rows.select("key", "url", "html").mapInArrow(_references, "key string, pos int, digest string")
+    one = payloads.where("digest is not null").groupBy("digest").agg(F.min(F.struct("payload_id", "payload_bytes")).alias("p"))
+    found = refs.join(one, "digest").groupBy("key").agg(F.collect_set(F.struct("pos", "p.payload_id", "p.payload_bytes")).alias("found"))
+    found = written(found, "media")
+    small = F.broadcast(found) if found.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).head()[0] <= BROADCAST_REFS else found
+    joined = rows.join(small, "key", "left").select("page_id", "url", "html", "found")
+    return joined.mapInArrow(_sequences, "page_id long, url string, n_text int, n_media int, n_resolved int, items array<" + ITEM[:-1] + ", payload_id: string, payload_bytes: bigint>>")
 
 
 def page_payloads(pages: DataFrame) -> DataFrame:
