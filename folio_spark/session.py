@@ -18,6 +18,9 @@ _PACKAGE = Path(__file__).resolve().parent
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the Python workers, once per application."""
+    # texts are long: batches of fewer rows bound the memory of Python workers and of Arrow's buffers in the JVM
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
