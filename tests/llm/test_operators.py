@@ -1,0 +1,392 @@
+"""The training-data operators against brute force, exact round trips and held-out cases; nulls, empty tables, repeats, clashing names."""
+
+import random
+import re
+import struct
+import zipfile
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from folio_spark.llm import archive, fingerprints, license_scan, media, mixing, ngram_join, packing, quality, regions, secret_scan, toxicity
+from folio_spark.llm.text import gram_sets
+from folio_spark.session import ship
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+TOKEN = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+
+
+@pytest.fixture(scope="module")
+def ready(spark):
+    ship(spark)
+    return spark
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", None if t is None else len(t)) for i, t in rows], DOCS)
+
+
+def prose(r, n):
+    return " ".join("".join(r.choice(["an", "er", "th", "ing", "on", "re", "st"]) for _ in range(r.randint(1, 4))) for _ in range(n))
+
+
+def odd(spark):
+    """Nulls, empty and very long texts, repeats, and extra columns whose names clash with the operators' own."""
+    r = random.Random(1)
+    long = prose(r, 30_000)
+    d = docs_of(spark, [(1, None), (2, ""), (3, "  \n "), (4, "one two"), (4, "one two"), (None, "null id text here"), (5, long), (6, "!!! ???")])
+    names = ["slot", "ordinal", "n", "first", "last", "window_id", "bucket", "pattern", "copies", "row", "id", "size", "root", "body", "a", "b", "distance", "toxic", "key", "label", "score"]
+    return d.select("*", *[F.lit(k).alias(k) for k in names])
+
+
+# ---- packing ---------------------------------------------------------------------------------------------------------------
+
+
+def by_hand(rows, length, seed):
+    import hashlib
+
+    stream = []
+    key = lambda i: hashlib.md5(f"{seed}:{'null' if i is None else i}".encode()).hexdigest()
+    for i, t in sorted(rows, key=lambda x: (key(x[0]), x[0] or 0, x[1] or "")):
+        w = [x for x in re.split("[ \t\n\r\f]+", t or "") if x]
+        if w:
+            stream += [(i, k, x) for k, x in enumerate([*w, None])]
+    out = []
+    for a in range(0, len(stream), length):
+        part = stream[a : a + length]
+        k = 0
+        while k < len(part):
+            z = k + 1
+            while z < len(part) and part[z][0] == part[k][0] and part[z][1] == part[z - 1][1] + 1:
+                z += 1
+            out.append((a // length, k, part[k][0], part[k][1], z - k, " ".join(x[2] for x in part[k:z] if x[2] is not None)))
+            k = z
+    return out
+
+
+@pytest.mark.parametrize("length", [3, 7, 2048])
+def test_packing(ready, length):
+    r = random.Random(length)
+    rows = [(k, prose(r, r.randint(0, 12))) for k in range(60)] + [(None, "a b"), (7, None)]
+    got = packing.pack(docs_of(ready, rows), length).collect()
+    assert sorted((x.window_id, x.position, x.doc_id, x.doc_start, x.n_tokens, x.text) for x in got if x.doc_id is not None) == sorted(x for x in by_hand(rows, length, packing.SEED) if x[2] is not None)
+    assert all(sum(x.n_tokens for x in got if x.window_id == w) == length for w in range(max(x.window_id for x in got)))
+
+
+# ---- mixing ----------------------------------------------------------------------------------------------------------------
+
+
+def test_flow_is_least(ready):
+    r = random.Random(4)
+    for _ in range(15):
+        n = [r.randint(1, 4) for _ in range(3)]
+        patterns = {("a",): n[0], ("a", "b"): n[1], ("b",): n[2]}
+        want = {"a": 2.0, "b": 1.0}
+        budget = r.randint(1, 10)
+        got = mixing.route(patterns, want, budget)
+        q = mixing.quotas({}, want, budget)
+        cost = lambda f, n: sum(mixing.EPOCH_COSTS[min(k // n, 3)] for k in range(f))
+        best = min(
+            sum(cost(f, m) for f, m in zip((x, y + z, w), n)) + mixing.UNMET * (q["a"] - x - y + q["b"] - z - w)
+            for x in range(min(q["a"], 4 * n[0]) + 1) for y in range(q["a"] - x + 1) for z in range(q["b"] + 1) for w in range(min(q["b"] - z, 4 * n[2]) + 1) if y + z <= 4 * n[1]
+        )
+        total = sum(got.values())
+        assert sum(cost(f, patterns[p]) for p, f in got.items()) + mixing.UNMET * (budget - total) == best
+
+
+def test_mixing_draws_what_was_routed(ready):
+    r = random.Random(2)
+    d = docs_of(ready, [(k, prose(r, r.randint(1, 9))) for k in range(400)])
+    targets = {"source=s0": 8.0, "source=s1": 1.0, "lang=en": 1.0}
+    got = mixing.mix(d, targets, 3000).collect()
+    size = {x.doc_id: len(x.text.split()) for x in d.collect()}
+    assert all(x.n_tokens == size[x.doc_id] and x.copies >= 1 for x in got)
+    patterns = {}
+    for x in d.collect():
+        p = ("lang=en", f"source={x.source}")
+        patterns[p] = patterns.get(p, 0) + size[x.doc_id]
+    for p, f in mixing.route(patterns, targets, 3000).items():
+        drawn = sum(x.n_tokens * x.copies for x in got if x.pattern == ",".join(p))
+        assert f - 9 < drawn <= f
+    rows = mixing.mix_rows(d, targets, 3000)
+    assert rows.columns == d.columns and rows.count() == sum(x.copies for x in got)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(d.repartition(7), targets, 3000).collect()))
+
+
+# ---- archive ---------------------------------------------------------------------------------------------------------------
+
+
+def test_archive_round_trip(ready, tmp_path):
+    rows = [(1, "http://a", "<p>ä</p>"), (2, None, ""), (None, "u\nv", None), (1, "http://a", "<p>ä</p>"), (3, "x", "y" * 200_000)]
+    pages = ready.createDataFrame(rows, "page_id long, url string, html string")
+    archive.write_archives(pages, f"file://{tmp_path}/z").write.parquet(str(tmp_path / "paths"))
+    got = archive.read_folder(ready, f"file://{tmp_path}/z").collect()
+    assert sorted(map(repr, ((x.page_id, x.url, x.html) for x in got))) == sorted(map(repr, rows)) and all(x.error is None for x in got)
+
+
+def test_archive_faults(ready, tmp_path):
+    data = archive.record(7, "u", "body")
+    with zipfile.ZipFile(tmp_path / "noindex.zip", "w") as z:
+        z.writestr("archive/data.warc.gz", data + archive.record(8, "v", "w"))
+    with zipfile.ZipFile(tmp_path / "packed.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("archive/data.warc.gz", data * 50)
+    with zipfile.ZipFile(tmp_path / "cut.zip", "w") as z:
+        z.writestr("archive/data.warc.gz", data[:-9])
+    (tmp_path / "junk.zip").write_bytes(b"no archive")
+    got = {x.archive: x.error for x in archive.read_folder(ready, str(tmp_path)).where("error is not null").collect()}
+    assert set(got) == {"packed.zip", "cut.zip", "junk.zip"}
+    assert sorted(x.page_id for x in archive.read_folder(ready, str(tmp_path)).where("error is null").collect()) == [7, 8]
+
+
+def test_zip64_directory(tmp_path):
+    name, body = b"archive/data.warc.gz", b"payload"
+    local = b"PK\x03\x04" + struct.pack("<HHHHHIIIHH", 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(name), 20) + name + struct.pack("<HHQQ", 1, 16, len(body), len(body)) + body
+    central = b"PK\x01\x02" + struct.pack("<HHHHHHIIIHHHHHII", 45, 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(name), 28, 0, 0, 0, 0, 0xFFFFFFFF) + name + struct.pack("<HHQQQ", 1, 24, len(body), len(body), 0)
+    end = b"PK\x06\x06" + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, 1, 1, len(central), len(local))
+    locator = b"PK\x06\x07" + struct.pack("<IQI", 0, len(local) + len(central), 1)
+    (tmp_path / "a.zip").write_bytes(local + central + end + locator + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0))
+    f = archive.RangeFile(str(tmp_path / "a.zip"))
+    (m,) = archive.members(f)
+    assert f.at(m["offset"], m["size"]) == body and m["method"] == 0
+
+
+# ---- media -----------------------------------------------------------------------------------------------------------------
+
+HTML = '<h1>Title</h1><script>var x="<img src=no>";</script><!-- <img src=no> --><p>Before <img src="/a.png" alt="alt a"> after<figure><img src=b.png><figcaption>Cap &amp; b</figcaption></figure><video src="data:video/mp4;base64,QUJD"></video><p>End'
+
+
+def test_media_order_and_captions():
+    items = media.parse(HTML, "http://h/x/")
+    assert [(x["kind"], x["text"] or x["url"], x["caption"]) for x in items] == [
+        ("text", "Title", None), ("text", "Before", None), ("media", "http://h/a.png", "alt a"), ("text", "after", None), ("media", "http://h/x/b.png", "Cap & b"),
+        ("text", "Cap & b", None), ("media", "data:video/mp4;base64,QUJD", None), ("text", "End", None),
+    ]
+    assert [x["pos"] for x in items] == list(range(len(items))) and items[6]["digest"] == __import__("hashlib").sha256(b"ABC").hexdigest()
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_media_payloads(ready, monkeypatch, limit):
+    monkeypatch.setattr(media, "BROADCAST_REFS", limit)
+    pages = ready.createDataFrame([(1, "http://h/x/", HTML), (1, "http://h/x/", HTML), (2, None, None), (3, None, "<img src=q>")], "page_id long, url string, html string").withColumn("key", F.lit("k"))
+    payloads = ready.createDataFrame([(media.reference_digest("http://h/x/b.png"), "p2", 5), (media.reference_digest("http://h/x/b.png"), "p1", 9), (None, "p3", 1)], "digest string, payload_id string, payload_bytes long")
+    got = sorted(media.interleave(pages, payloads).collect(), key=lambda x: x.page_id)
+    assert [(x.page_id, x.n_text, x.n_media, x.n_resolved) for x in got] == [(1, 5, 3, 1), (1, 5, 3, 1), (2, 0, 0, 0), (3, 0, 1, 0)]
+    assert [(i.pos, i.payload_id, i.payload_bytes) for i in got[0]["items"] if i.payload_id] == [(4, "p1", 9)]
+
+
+# ---- joins -----------------------------------------------------------------------------------------------------------------
+
+
+def near_corpus(seed, n=60):
+    r = random.Random(seed)
+    rows, passage = [], prose(r, 55)
+    for k in range(n):
+        w = prose(r, r.randint(2, 90)).split()
+        if k % 5 == 0:
+            w += passage.split()
+        rows.append((len(rows), " ".join(w)))
+        for _ in range(r.choice([0, 0, 1, 3])):
+            v = [prose(r, 1) if r.random() < 0.04 else x for x in w]
+            rows.append((len(rows), " ".join(v)))
+        if k % 7 == 0:
+            rows.append((len(rows), " ".join(w)))
+    return rows + [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "short"), (len(rows) + 3, "short")]
+
+
+def brute(rows, n, t):
+    sets = gram_sets(pa.array([x[1] for x in rows], pa.string()), n)
+    out = {}
+    for i in range(len(rows)):
+        for j in range(i):
+            c = len(np.intersect1d(sets[i], sets[j]))
+            if c and c / (len(sets[i]) + len(sets[j]) - c) >= t - 1e-9:
+                out[rows[j][0], rows[i][0]] = c / (len(sets[i]) + len(sets[j]) - c)
+    return out
+
+
+def expanded(got, ids):
+    rep, near = {i: i for i in ids}, {}
+    for x in got:
+        if x.kind == "copy":
+            rep[x.doc_b] = x.doc_a
+        else:
+            near[x.doc_a, x.doc_b] = x.jaccard
+    return {(a, b): 1.0 if rep[a] == rep[b] else near[tuple(sorted((rep[a], rep[b])))] for a in ids for b in ids if a < b and (rep[a] == rep[b] or tuple(sorted((rep[a], rep[b]))) in near)}
+
+
+@pytest.mark.parametrize("paired", [2, 64])
+def test_ngram_join_is_exact(ready, monkeypatch, paired):
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)
+    rows = near_corpus(paired)
+    got = expanded(ngram_join.near_pairs(docs_of(ready, rows)).collect(), [x[0] for x in rows])
+    assert got == pytest.approx(brute(rows, ngram_join.N, ngram_join.THRESHOLD))
+
+
+def test_fingerprints_recall(ready):
+    rows = near_corpus(9)
+    got = expanded(fingerprints.fingerprint_pairs(docs_of(ready, rows)).collect(), [x[0] for x in rows])
+    want = brute(rows, fingerprints.N, fingerprints.THRESHOLD)
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want) and all(abs(want[k] - v) < 1e-9 for k, v in got.items())
+
+
+@pytest.mark.parametrize("leaf", [4, 512])
+def test_region_join_is_exact(monkeypatch, leaf):
+    monkeypatch.setattr(regions, "LEAF", leaf if leaf > regions.PIVOTS else regions.PIVOTS + 1)
+    r = np.random.default_rng(3)
+    sets = []
+    for _ in range(12):
+        base = r.integers(0, 2**63, 80, dtype=np.uint64)
+        for _ in range(8):
+            x = base.copy()
+            m = r.random(80) < r.uniform(0, 0.4)
+            x[m] = r.integers(0, 2**63, m.sum(), dtype=np.uint64)
+            sets.append(np.unique(x))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    i, j, _ = regions.join_region(sets, 0.5)
+    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
+
+
+def test_components(ready):
+    e = ready.createDataFrame([(1, 2), (2, 3), (9, 3), (5, 6), (7, 6), (8, 8), (2, 1)] + [(k, k + 1) for k in range(100, 140)], "a long, b long")
+    got = {x.id: x.root for x in regions.components(e).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5, 7: 5} | {k: 100 for k in range(100, 141)}
+
+
+def test_drop_near_keeps_one_of_each_group(ready):
+    rows = near_corpus(3)
+    kept = {x.doc_id for x in ngram_join.drop_near(docs_of(ready, rows)).collect()}
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in brute(rows, ngram_join.N, ngram_join.THRESHOLD):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert kept == {i for i in root if find(i) == i}
+
+
+# ---- classifiers -----------------------------------------------------------------------------------------------------------
+
+
+def test_secrets():
+    s = secret_scan.Scanner()
+    held = secret_scan.labelled(40, 991)
+    assert sum(s.best(w) is not None for _, w in held) >= 0.97 * len(held)
+    plain = [w for w in secret_scan.ordinary(3000, 992) if len(w) >= secret_scan.SHORTEST]
+    assert sum(s.best(w) is not None for w in plain) <= 0.01 * len(plain)
+    t = f'x = "{TOKEN}" and {TOKEN.upper()}!! but 4736473647364736 or mail.19@host5.example.com'
+    assert [(t[a : a + n], f) for a, n, f, _ in s.find(t)] == [(TOKEN, "hex_token_40"), (TOKEN.upper(), "hex_token_40_upper")]
+    assert s.find(None) == s.find("") == []
+
+
+def test_automaton_merges_and_sums_to_one():
+    r = random.Random(1)
+    a = secret_scan.infer(["k" + "".join(r.choice("01") for _ in range(6)) for _ in range(400)])
+    assert len(a) == 8
+    assert all(abs(ends + sum(n for n, _ in step.values()) - passes) == 0 for passes, ends, step in a)
+
+
+def test_redact(ready):
+    d = docs_of(ready, [(1, f"a {TOKEN} b"), (2, None), (3, "clean")]).withColumn("score", F.lit(1))
+    got = {x.doc_id: (x.text, x.n_chars) for x in secret_scan.redact(d).collect()}
+    assert got == {1: ("a [SECRET] b", 12), 2: (None, None), 3: ("clean", 5)} and secret_scan.redact(d).columns == d.columns
+    (f,) = secret_scan.scan(d).collect()
+    assert (f.doc_id, f.start, f.length, f.family) == (1, 2, 40, "hex_token_40")
+
+
+def test_licenses(ready):
+    lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 2."]
+    text = "plain words\n" + "\n".join(lines) + "\nThe driver renewed the license in the public office."
+    got = license_scan.scan(docs_of(ready, [(1, text), (2, None), (3, ""), (4, "mit of the")])).orderBy("paragraph").collect()
+    assert [(x.doc_id, x.paragraph, x.family) for x in got] == [(1, 1, "mit"), (1, 2, "cc-by-nc"), (1, 3, "apache-2.0"), (1, 4, "gpl")]
+    model, held = license_scan.Classifier(), license_scan.training(6, 404)
+    judged = [(f, model.judge(np.array([license_scan._hash(w) for w in license_scan._words(t)], np.uint64))) for f, t in held]
+    assert np.mean([(j[0] if j else "unknown") == f for f, j in judged]) > 0.9
+    assert np.mean([j is None for f, j in judged if f == "unknown"]) > 0.98
+
+
+def labelled_corpus(spark):
+    r = random.Random(8)
+    bad = ["idiot", "moron", "worthless", "pathetic", "disgusting"]
+    rows, labels = [], []
+    for k in range(600):
+        toxic, junk = k % 4 == 0, k % 5 == 0
+        w = prose(r, 60).split()
+        if toxic:
+            for _ in range(4):
+                w[r.randrange(len(w))] = r.choice(bad)
+        t = " ".join(w)
+        rows.append((k, (t.upper() + "!! ").replace(" ", "!! ") if junk else t))
+        if k % 3:
+            labels.append((k, int(not junk), int(toxic)))
+    return docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_held_out(ready):
+    d, labels = labelled_corpus(ready)
+    got = {x.doc_id: x.toxic for x in toxicity.classify(d, labels).collect()}
+    held = [k for k in range(600) if k % 3 == 0]
+    assert np.mean([got[k] for k in held if k % 4 == 0]) > 0.9 and np.mean([got[k] for k in held if k % 4]) < 0.05
+    kept = toxicity.drop_toxic(d, labels)
+    assert kept.columns == d.columns and {x.doc_id for x in kept.collect()} == {k for k in got if not got[k]}
+
+
+def test_quality_held_out(ready):
+    d, labels = labelled_corpus(ready)
+    got = {x.doc_id: x for x in quality.classify(d, labels).collect()}
+    held = [k for k in range(600) if k % 3 == 0]
+    assert np.mean([got[k].keep == (k % 5 != 0) for k in held]) > 0.97
+    order = sorted(got.values(), key=lambda x: x.score)
+    assert all(a.probability <= b.probability + 1e-12 for a, b in zip(order, order[1:]))
+
+
+def test_isotonic():
+    at, p = quality.pav(np.arange(5.0), np.array([0, 1, 0, 1, 1.0]), np.ones(5))
+    assert p.tolist() == [0, 0.5, 1] or p.tolist() == [0, 0.5, 1, 1]
+
+
+def test_statistics_of_slices():
+    col = pa.array(["x" * 9, "Ab, c.\nAb, c.", None, "", "ü!!"])
+    assert np.allclose(quality.statistics(col.slice(1)), quality.statistics(pa.array(["Ab, c.\nAb, c.", None, "", "ü!!"])))
+    assert not quality.statistics(col)[2].any() and quality.statistics(col)[1][quality.NAMES.index("repeat")] == 0.5
+
+
+def test_no_labels(ready):
+    d, labels = labelled_corpus(ready)
+    none = labels.limit(0)
+    assert toxicity.classify(d, none).where("toxic").count() == 0
+    assert quality.classify(d, none).where("keep").count() == 600
+
+
+# ---- odd input -------------------------------------------------------------------------------------------------------------
+
+OPERATORS = {
+    "secret": lambda d, y: secret_scan.scan(d), "redact": lambda d, y: secret_scan.redact(d), "license": lambda d, y: license_scan.scan(d), "fingerprints": lambda d, y: fingerprints.fingerprint_pairs(d),
+    "mix": lambda d, y: mixing.mix(d), "mix_rows": lambda d, y: mixing.mix_rows(d), "quality": quality.classify, "toxicity": toxicity.classify, "drop_toxic": toxicity.drop_toxic,
+    "join": lambda d, y: ngram_join.near_pairs(d), "drop_near": lambda d, y: ngram_join.drop_near(d), "pack": lambda d, y: packing.pack(d),
+}
+COUNTS = {"secret": 0, "redact": 8, "license": 0, "fingerprints": 0, "mix": 5, "mix_rows": 5, "quality": 8, "toxicity": 8, "drop_toxic": 8, "join": 0, "drop_near": 7}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_and_empty_input(ready, name):
+    labels = ready.createDataFrame([(4, 1, 0), (4, 0, 1), (None, 1, 1), (5, None, None), (77, 1, 0)], "doc_id long, quality int, toxic int")
+    d = odd(ready)
+    got = OPERATORS[name](d, labels).collect()
+    if name in COUNTS:
+        assert len(got) == COUNTS[name] or name.startswith("mix") and got
+    if name in ("redact", "mix_rows", "drop_toxic", "drop_near"):
+        assert OPERATORS[name](d, labels).columns == d.columns
+    assert OPERATORS[name](d.limit(0), labels).count() == 0
+    assert OPERATORS[name](d.limit(0), labels.limit(0)).count() == 0
+
+
+def test_empty_pages(ready):
+    none = ready.createDataFrame([], "page_id long, url string, html string")
+    assert media.interleave(none, media.page_payloads(none)).count() == 0
+    assert archive.read_archives(archive.write_archives(none, f"{__import__('folio_spark.session', fromlist=['x']).scratch(ready, 'z')}")).count() == 0
