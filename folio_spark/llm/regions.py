@@ -141,7 +141,7 @@ def digest(grams: np.ndarray) -> int:
 
 
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """(id, body): each row's n-gram set, by digest, as bytes. docs: doc_id, text."""
+    """(id, body): each row's n-gram set, by digest, as bytes; not empty ones. docs: text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,52 +149,77 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
                 sets = [s for s in gram_sets(p.column(0), n) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "body"])
 
-    return docs.select("text").mapInArrow(run, "id long, body binary").dropDuplicates(["id"])
+    return docs.select("text").mapInArrow(run, "id long, body binary")
 
 
 def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, n: int, t: float) -> DataFrame:
-    """(a, b, jaccard): the pairs of similarity t or more within the components of edges (a, b). docs: doc_id, text; classes: doc_id, id."""
-    regions = written(components(edges), "components")
-    chosen = classes.where("doc_id is not null").join(regions, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    bodies = set_rows(semi_by_id(docs, chosen.select("doc_id").distinct(), "doc_id"), n)
-    return join_regions(regions.join(bodies, "id"), t)
+    """(doc_a, doc_b, jaccard): the pairs of similarity t or more within the components of edges (a, b), each set by the least id
+    of its documents. docs: doc_id, text; classes: doc_id, id."""
+    regions = components(edges)
+    members = written(regions.join(least_ids(classes), "id"), "members")
+    bodies = set_rows(semi_by_id(docs, members.select("doc_id").distinct(), "doc_id"), n)
+    few = members.count() <= BROADCAST_IDS  # then the sets are shuffled once, to their regions
+    return join_regions(bodies.join(F.broadcast(members) if few else members, "id"), t)
+
+
+def least_ids(classes: DataFrame) -> DataFrame:
+    """id, doc_id: the least id of the documents of each set."""
+    return classes.where("doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
 
 
 def named_pairs(classes: DataFrame, near: DataFrame) -> DataFrame:
     """(doc_a, doc_b, jaccard, kind). Documents of the same set are 'copy' rows against the least id among them; those least
     ids of two similar sets are a 'near' row. Two documents are similar exactly if they, or the least ids of their sets, are
     the same or such a pair."""
-    least = classes.where("doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
+    least = least_ids(classes).withColumnRenamed("doc_id", "least")
     copies = classes.join(least, "id").where("doc_id > least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"), F.lit("copy").alias("kind")).distinct()
-    x, y = least.select(F.col("id").alias("a"), F.col("least").alias("x")), least.select(F.col("id").alias("b"), F.col("least").alias("y"))
-    pairs = near.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard", F.lit("near").alias("kind"))
-    return copies.unionByName(pairs)
+    return copies.unionByName(near.select("doc_a", "doc_b", "jaccard", F.lit("near").alias("kind")))
 
 
 def join_regions(members: DataFrame, t: float) -> DataFrame:
-    """(a, b, jaccard), a < b, of all pairs of similarity t or more in each region. members: root, id, body, once for each id."""
+    """(doc_a, doc_b, jaccard), doc_a < doc_b, of all pairs of similarity t or more in each region. members: root, id, doc_id, body; repeated ids count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, ids, sets = None, [], []
+        root, ids, docs, sets = None, [], [], []
 
         def found():
-            order = np.argsort(np.array(ids, np.int64), kind="stable")
-            own = [sets[k] for k in order]
-            name = np.array(ids, np.int64)[order]
+            _, order = np.unique(np.array(ids, np.int64), return_index=True)
+            own, name = [sets[k] for k in order], np.array(docs, np.int64)[order]
             i, j, c = join_region(own, t)
             size = np.array([len(s) for s in own], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(name[j]), pa.array(c / (size[i] + size[j] - c), pa.float64())], ["a", "b", "jaccard"])
+            real = name[i] != name[j]
+            i, j, c = i[real], j[real], c[real]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(name[i], name[j])), pa.array(np.maximum(name[i], name[j])), pa.array(c / (size[i] + size[j] - c), pa.float64())], ["doc_a", "doc_b", "jaccard"])
 
         for batch in batches:
-            for r, i, s in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for r, i, d, s in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if r != root and ids:
                     yield found()
-                    ids, sets = [], []
+                    ids, docs, sets = [], [], []
                 root = r
                 ids.append(i)
+                docs.append(d)
                 sets.append(np.frombuffer(s, np.uint64))
         if ids:
             yield found()
 
-    rows = members.select("root", "id", "body").repartition("root").sortWithinPartitions("root")
-    return rows.mapInArrow(run, "a long, b long, jaccard double")
+    rows = members.select("root", "id", "doc_id", "body").repartition("root").sortWithinPartitions("root")
+    return rows.mapInArrow(run, "doc_a long, doc_b long, jaccard double")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (least, other) that connect what the edges (a, b) connect: no more than there are nodes."""
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = code[: len(a)], code[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new[label]]
+        if (new == label).all():
+            break
+        label = new
+    other = np.nonzero(label != np.arange(len(nodes)))[0]
+    return nodes[label[other]], nodes[other]

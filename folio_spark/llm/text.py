@@ -13,7 +13,7 @@ import xxhash
 _EDGE = re.compile(r"[^\w]+")
 _MULT = 0x9E3779B97F4A7C15
 #: Rows that are handled at a time, and bytes of text after which a slice ends: bounds a Python worker's memory.
-SLICE_ROWS, SLICE_BYTES = 2000, 8_000_000
+SLICE_ROWS, SLICE_BYTES = 1000, 2_000_000
 
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
