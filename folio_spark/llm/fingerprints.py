@@ -5,7 +5,8 @@ Each distinct shingle set gets 128 minima of multiply-shift universal hashes (nu
 with the band, drops pairs whose estimated similarity is more than SLACK below the threshold. What is left falls into
 connected groups, in which Jaccard is verified on the whole shingle sets, for all pairs (regions.join_region).
 
-A pair of similarity s shares a band with probability 1 - (1 - s^4)^32: 0.988 at 0.6, above 0.999 from 0.67.
+A pair of similarity s shares a band with probability 1 - (1 - s^4)^32: 0.988 at 0.6, above 0.999 from 0.67; a pair of a group
+is also found through other members.
 
 Cases: as for the n-gram join: empty sets match nothing, short texts are one shingle, equal sets are copies, null ids
 aren't named, repeated rows are copies of the same id and give no row, an empty table gives no row.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio_spark.llm.regions import digest, named_pairs, verified
+from folio_spark.llm.regions import digest, forest, named_pairs, verified
 from folio_spark.llm.text import gram_sets, mix, slices
 from folio_spark.session import written
 
@@ -100,22 +101,27 @@ def _signed(n: int):
 
 
 def _meet(t: float):
-    """(a, b): sets of a common band whose sizes and sketches allow a similarity of t. Rows come sorted by band."""
+    """(a, b): edges that connect the sets of a common band whose sizes and sketches allow a similarity of t. Rows come sorted by band."""
 
     def pairs(band, ids, size, sketch):
+        order = np.lexsort((ids, band))
+        band, ids, size, sketch = band[order], ids[order], size[order], sketch[order]
+        once = np.ones(len(band), bool)  # equal sets count once
+        once[1:] = (band[1:] != band[:-1]) | (ids[1:] != ids[:-1])
+        band, ids, size, sketch = band[once], ids[once], size[once], sketch[once]
         left, right = [], []
         shift = 1
         while shift < len(band):
             same = band[:-shift] == band[shift:]
             if not same.any():
                 break
-            at = np.nonzero(same & (ids[:-shift] != ids[shift:]) & (np.minimum(size[:-shift], size[shift:]) >= t * np.maximum(size[:-shift], size[shift:]) - 1e-6))[0]
+            at = np.nonzero(same & (np.minimum(size[:-shift], size[shift:]) >= t * np.maximum(size[:-shift], size[shift:]) - 1e-6))[0]
             at = at[similarity(sketch[at], sketch[at + shift]) >= t - SLACK]
             left.append(ids[at]), right.append(ids[at + shift])
             shift += 1
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        a, b = forest(a, b)  # groups are enough: all their pairs are verified
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -138,7 +144,6 @@ def fingerprint_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col:
     """(doc_a, doc_b, jaccard, kind) of near-duplicate documents; see regions.named_pairs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(docs.mapInArrow(_signed(n), "doc_id long, id long, size int, bands array<long>, sketch binary"), "signatures")
-    once = signed.dropDuplicates(["id"])
-    rows = once.select(F.explode("bands").alias("band"), "id", "size", "sketch").repartition("band").sortWithinPartitions("band")
+    rows = signed.select(F.explode("bands").alias("band"), "id", "size", "sketch").repartition("band").sortWithinPartitions("band")
     edges = rows.select("band", "id", "size", "sketch").mapInArrow(_meet(t), "a long, b long").distinct()
     return named_pairs(signed.select("doc_id", "id"), verified(docs, signed.select("doc_id", "id"), edges, n, t))
