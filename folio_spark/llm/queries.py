@@ -32,7 +32,7 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixing.mix(_read(spark, sf_dir, "documents"), mixing.TARGETS)
 
 
 def op6_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,24 @@ def test_mixing_draws_what_was_routed(ready):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(d.repartition(7), targets, 3000).collect()))
 
 
+def test_registered_mixture_binds(ready, tmp_path):
+    import corpus_pipeline
+    from folio_spark.llm import queries
+
+    r = random.Random(6)
+    langs = ["en"] * 6 + ["de", "de", "fr", "es"]
+    rows = [(k, prose(r, 20), langs[k % 10], f"src{k // 10 % 20}", 1) for k in range(2000)]
+    docs = ready.createDataFrame(rows, DOCS)
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_mixing(ready, str(tmp_path)).collect()
+    copies = {x.doc_id: x.copies for x in got}
+    assert len(copies) < 1700 and sum(n > 1 for n in copies.values()) > 150
+    drawn = {g: sum(x.n_tokens * x.copies for x in got if g in x.pattern.split(",")) / 40_000 for g in ("lang=en", "lang=es", "source=src0")}
+    assert 0.34 < drawn["lang=en"] < 0.49 and 0.16 < drawn["lang=es"] < 0.3 and drawn["source=src0"] > 0.11
+    assert sum(x.n_tokens * x.copies for x in got) > 0.99 * 40_000
+    assert corpus_pipeline.mix_sources(ready, docs, str(tmp_path)).count() == sum(copies.values())
+
+
 # ---- archive ---------------------------------------------------------------------------------------------------------------
 
 
