@@ -242,6 +242,15 @@ def test_ngram_join_is_exact(ready, monkeypatch, paired):
     assert got == pytest.approx(brute(rows, ngram_join.N, ngram_join.THRESHOLD))
 
 
+def test_ngram_join_finds_spread_insertions(ready):
+    words = [f"w{k}" for k in range(400)]
+    at = {(k * 400) // 41 for k in range(1, 41)}
+    more = [x for k, w in enumerate(words) for x in ([f"new{k}", w] if k in at else [w])]
+    rows = [(1, " ".join(words)), (2, " ".join(more))]
+    assert set(brute(rows, 3, 0.6)) == {(1, 2)} and not brute(rows, 4, 0.5)
+    assert [(x.doc_a, x.doc_b, x.kind) for x in ngram_join.near_pairs(docs_of(ready, rows)).collect()] == [(1, 2, "near")]
+
+
 def test_fingerprints_recall(ready):
     rows = near_corpus(9)
     got = expanded(fingerprints.fingerprint_pairs(docs_of(ready, rows)).collect(), [x[0] for x in rows])
