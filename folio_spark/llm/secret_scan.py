@@ -5,8 +5,9 @@ their outgoing and ending frequencies are statistically compatible down the tree
 states of the same depth are merged, which keeps lengths. Each automaton gives a candidate's log-likelihood; a background
 chain of characters, learned from ordinary tokens, gives another. Their difference in bits for each character is the
 score; a family's threshold is its least score over labelled credentials held out, less MARGIN. Every candidate of every
-text is scored: a candidate is a run of at least SHORTEST letters, digits and the marks _ - . + / = with a digit in it,
-and each part of the run between marks that aren't the family's own.
+text is scored: a candidate is a run of at least SHORTEST letters, digits and the marks _ - . + / =, each part of the run
+between marks that the family's labelled credentials never hold, and each stretch of such a part between two of the
+family's own marks that is as long as its labelled credentials are.
 
 Cases: null and empty texts have no candidate; overlapping findings are settled by score, then length, then position;
 repeated rows are scanned one by one; an empty table gives no row; other columns are ignored by scan and kept by redact,
@@ -32,7 +33,7 @@ from folio_spark.llm.text import slices
 SAMPLES, ALPHA, NEVER, SHORTEST, MARGIN, SEED = 240, 0.05, 0.5, 16, 0.25, 3
 MARK = "[SECRET]"
 RUN = re.compile(r"[A-Za-z0-9_\-.+/=]{16,}")
-DIGIT = re.compile(r"[0-9]")
+MARKS = "_-.+/="
 PART = re.compile(r"[A-Za-z0-9_\-]{16,}")
 ALPHABET = string.ascii_letters + string.digits + "_-.+/="
 
@@ -183,6 +184,11 @@ class Scanner:
         self.automata = {f: infer([w for k, w in enumerate(ws) if k % 4]) for f, ws in families.items()}
         self.least = {f: min(self.score(f, w) for k, w in enumerate(ws) if k % 4 == 0) - MARGIN for f, ws in families.items()}
         self.lengths = {f: (min(map(len, ws)), max(map(len, ws))) for f, ws in families.items()}
+        self.parts, self.own = {}, {}
+        for f, ws in families.items():
+            foreign = "".join(c for c in MARKS if not any(c in w for w in ws))
+            self.parts[f] = re.compile(f"[^{re.escape(foreign)}]+" if foreign else ".+", re.S)
+            self.own[f] = re.compile(f"[{re.escape(own)}]") if (own := "".join(c for c in MARKS if c not in foreign)) else None
 
     def background(self, w: str) -> float:
         return sum(math.log2((self.pairs[a, b] + 0.1) / (self.firsts[a] + 0.1 * len(ALPHABET))) for a, b in zip("^" + w, w))
@@ -190,6 +196,24 @@ class Scanner:
     def score(self, family: str, w: str) -> float:
         return (log_likelihood(self.automata[family], w) - self.background(w)) / len(w)
 
+    def inner(self, family: str, run: str) -> set[tuple[int, str]]:
+        """(start, part) of the run's parts at the family's marks: those between foreign ones, and stretches between its own."""
+        least, most = self.lengths[family]
+        out = set()
+        for p in self.parts[family].finditer(run):
+            if len(p[0]) < min(least, SHORTEST):
+                continue
+            out.add((p.start(), p[0]))
+            if self.own[family] and (at := [m.start() for m in self.own[family].finditer(p[0])]):
+                cuts = sorted({0, len(p[0]), *at, *(k + 1 for k in at)})
+                for k, a in enumerate(cuts):
+                    for z in cuts[k + 1 :]:
+                        if z - a > most:
+                            break
+                        if z - a >= least:
+                            out.add((p.start() + a, p[0][a:z]))
+        return out
+
     def best(self, w: str) -> tuple[float, str] | None:
         """(score, family) of the best family that takes the candidate."""
         return max(((s, f) for f in self.automata if (s := self.score(f, w)) >= self.least[f]), default=None)
@@ -199,13 +223,17 @@ class Scanner:
         found = []
         for m in RUN.finditer(text or ""):
             run = m[0]
-            if not DIGIT.search(run):
-                continue
             spans = {(m.start(), run)} | {(m.start() + p.start(), p[0]) for p in PART.finditer(run)}
-            spans |= {(a + len(w) - len(w.lstrip(".-=/+_")), w.strip(".-=/+_")) for a, w in spans}
+            spans |= {(a + len(w) - len(w.lstrip(MARKS)), w.strip(MARKS)) for a, w in spans}
             for a, w in spans:
                 if len(w) >= SHORTEST and (b := self.best(w)):
                     found.append((-b[0], -len(w), a, b[1]))
+            if not any(c in run for c in MARKS):
+                continue  # no other part
+            for f in self.automata:
+                for a, w in {(m.start() + a, w) for a, w in self.inner(f, run)} - spans:
+                    if len(w) >= SHORTEST and (s := self.score(f, w)) >= self.least[f]:
+                        found.append((-s, -len(w), a, f))
         out: list[tuple[int, int, str, float]] = []
         for s, n, a, family in sorted(found):
             if all(a + -n <= x or a >= x + k for x, k, *_ in out):
