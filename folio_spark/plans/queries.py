@@ -323,11 +323,10 @@ def missing_words(spark, sf_dir):
   contains(regexp_replace(d.text, '[^\\p{L}\\p{N}!-/:-@\\[-`{-~]', '', 'g'), regexp_replace(b.text, '[^\\p{L}\\p{N}!-/:-@\\[-`{-~]', '', 'g')) AS t3 FROM benchmark b, documents d)
   SELECT item_id, doc_id, CASE WHEN t1 THEN 1 WHEN t2 THEN 2 ELSE 3 END AS tier FROM j WHERE t1 OR t2 OR t3""")
 def required_text(spark, sf_dir):
-    # the item's longest word finds the few pairs worth comparing: an equi-join instead of every item against every text
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    b = table(spark, sf_dir, "benchmark").withColumn("key", F.element_at(F.array_sort(T.words(F.col("text")), lambda x, y: F.length(y) - F.length(x)), 1))
-    hits = d.select("doc_id", F.explode(F.array_distinct(T.words(F.col("body")))).alias("key")).join(b.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    j = hits.join(b.select("item_id", "text"), "item_id").join(d, "doc_id")
+    # every tier implies the squashed match, so each text is squashed once and tested for all items, which are few
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), T.squashed(F.col("text")).alias("squashed_body"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text", T.squashed(F.col("text")).alias("squashed_text"))
+    j = d.join(F.broadcast(b), F.contains(F.col("squashed_body"), F.col("squashed_text")))
     return j.select("item_id", "doc_id", evaluate.anchor_tier(F.col("body"), F.col("text")).alias("tier")).where("tier > 0")
 
 
