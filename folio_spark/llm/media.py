@@ -27,13 +27,16 @@ from pyspark.sql import functions as F
 from folio_spark.session import written
 
 #: Elements that refer to media, and the attributes that may hold the URL.
-MEDIA = {"img": ("src", "data-src"), "video": ("src", "poster"), "audio": ("src",), "source": ("src", "srcset"), "embed": ("src",), "object": ("data",), "iframe": ("src",), "a": ("href",)}
+MEDIA = {"img": ("src", "data-src"), "video": ("src",), "audio": ("src",), "source": ("src",), "embed": ("src",), "object": ("data",), "iframe": ("src",), "a": ("href",)}
 KINDS = {"img": "image", "video": "video", "audio": "audio", "source": "source", "embed": "embed", "object": "object", "iframe": "frame", "a": "link"}
 BLOCKS = frozenset("address article aside blockquote body br caption dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
 RAW = re.compile(r"</(script|style|noscript|template)\s*>", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACES = re.compile(r"\s+")
+#: Elements whose further attributes hold references of their own.
+SRCSET, POSTER = ("img", "source"), ("video",)
+CANDIDATE = re.compile(r"[\s,]*([^\s,](?:\S*[^\s,])?)(,+|(?:[^,(]|\([^)]*\)?)*)")
 
 #: Found references up to which they are broadcast; beyond that the pages are shuffled to them.
 BROADCAST_REFS = 200_000
@@ -53,6 +56,11 @@ def reference_digest(url: str) -> str:
     return hashlib.sha256(url.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def srcset_urls(value: str) -> list[str]:
+    """The candidates' URLs, without descriptors; commas within a URL, as in data URIs, stay."""
+    return [m[1] for m in CANDIDATE.finditer(value)]
+
+
 def parse(page: str | None, base: str | None) -> list[dict]:
     """The page's items in document order."""
     items: list[dict] = []
@@ -112,19 +120,28 @@ def parse(page: str | None, base: str | None) -> list[dict]:
         if name in MEDIA:
             attrs = {a[0].lower(): H.unescape(a[1] or a[2] or a[3]) for a in ATTR.findall(m[3])}
             url = next((attrs[k].strip() for k in MEDIA[name] if attrs.get(k, "").strip()), None)
-            if url is None:
-                continue
-            flush()
-            if not url.startswith("data:") and base:
-                try:
-                    url = urljoin(base, url)
-                except ValueError:
-                    pass
-            items.append({"pos": len(items), "kind": "media", "text": None, "media_type": KINDS[name], "url": url, "digest": reference_digest(url), "caption": SPACES.sub(" ", attrs.get("alt") or attrs.get("title") or "").strip() or None})
-            if figures:
-                if isinstance(figures[-1], _Captioned) and figures[-1].text:
-                    items[-1]["caption"] = figures[-1].text
-                figures[-1].append(items[-1])
+            found = [(KINDS[name], url)] if url is not None else []
+            if name in SRCSET:
+                found += [(KINDS[name], u) for u in srcset_urls(attrs.get("srcset", ""))]
+            if name in POSTER and attrs.get("poster", "").strip():
+                found.append(("image", attrs["poster"].strip()))
+            if found:
+                flush()
+            seen = set()
+            for kind, url in found:
+                if not url.startswith("data:") and base:
+                    try:
+                        url = urljoin(base, url)
+                    except ValueError:
+                        pass
+                if url in seen:
+                    continue
+                seen.add(url)
+                items.append({"pos": len(items), "kind": "media", "text": None, "media_type": kind, "url": url, "digest": reference_digest(url), "caption": SPACES.sub(" ", attrs.get("alt") or attrs.get("title") or "").strip() or None})
+                if figures:
+                    if isinstance(figures[-1], _Captioned) and figures[-1].text:
+                        items[-1]["caption"] = figures[-1].text
+                    figures[-1].append(items[-1])
     close_caption()
     flush()
     return items

@@ -184,6 +184,16 @@ def test_media_order_and_captions():
     assert [x["pos"] for x in items] == list(range(len(items))) and items[6]["digest"] == __import__("hashlib").sha256(b"ABC").hexdigest()
 
 
+def test_media_srcset_and_poster():
+    page = '<img src=a.png srcset="a.png 1x, b.png 2x,c.png"><source srcset="data:image/png;base64,QUJD 1x, d.png 200w"><video src=v.mp4 poster=p.png></video><img srcset="e.png">'
+    got = [(x["media_type"], x["url"]) for x in media.parse(page, "http://h/")]
+    assert got == [
+        ("image", "http://h/a.png"), ("image", "http://h/b.png"), ("image", "http://h/c.png"), ("source", "data:image/png;base64,QUJD"), ("source", "http://h/d.png"),
+        ("video", "http://h/v.mp4"), ("image", "http://h/p.png"), ("image", "http://h/e.png"),
+    ]
+    assert media.srcset_urls(" , x.png, y.png 1.5x ,, z,1.png 3x") == ["x.png", "y.png", "z,1.png"] and media.srcset_urls("") == []
+
+
 @pytest.mark.parametrize("limit", [0, 1000])
 def test_media_payloads(ready, monkeypatch, limit):
     monkeypatch.setattr(media, "BROADCAST_REFS", limit)
