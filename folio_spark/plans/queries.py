@@ -327,7 +327,9 @@ def required_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), T.squashed(F.col("text")).alias("squashed_body"))
     b = table(spark, sf_dir, "benchmark").select("item_id", "text", T.squashed(F.col("text")).alias("squashed_text"))
     j = d.join(F.broadcast(b), F.contains(F.col("squashed_body"), F.col("squashed_text")))
-    return j.select("item_id", "doc_id", evaluate.anchor_tier(F.col("body"), F.col("text")).alias("tier")).where("tier > 0")
+    # the condition is repeated in the tier, as the optimizer moves the filter into the join, before the join's own condition
+    tier = F.when(F.contains(F.col("squashed_body"), F.col("squashed_text")), evaluate.anchor_tier(F.col("body"), F.col("text"))).otherwise(0)
+    return j.select("item_id", "doc_id", tier.alias("tier")).where("tier > 0")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, octet_length(encode(text)) AS p FROM conversations), q AS (SELECT a.conv_id, count(*) AS pairs, count(*) FILTER (a.p > 0 AND b.p > 0 AND a.p <= b.p) AS ordered FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY 1),
