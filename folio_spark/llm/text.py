@@ -16,9 +16,9 @@ _MULT = 0x9E3779B97F4A7C15
 SLICE_ROWS, SLICE_BYTES = 1000, 2_000_000
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of bounded text size; a piece has one row at least."""
-    col = batch.column(batch.schema.get_field_index(text))
+def slices(batch: pa.RecordBatch, text: str, at: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of bounded text size; a piece has one row at least. at: the column, where names repeat."""
+    col = batch.column(batch.schema.get_field_index(text) if at is None else at)
     size = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False))
     start, n = 0, batch.num_rows
     while start < n:

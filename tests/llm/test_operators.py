@@ -383,6 +383,58 @@ def test_toxicity_held_out(ready):
     assert kept.columns == d.columns and {x.doc_id for x in kept.collect()} == {k for k in got if not got[k]}
 
 
+SYLLABLES = {"xx": "an er in on re th ti es or at of st en to is it al ch ei un la que ment tion".split(), "yy": "do ca mi ra ue cion os ta ja lle ez bo ie su ar co".split()}
+
+
+def stem_corpus(n=2400, seed=12):
+    """(id, text, lang, toxic): toxic documents hold words of a language's stems with any ending; the other language's stems there and their parts are ordinary."""
+    r, stems = random.Random(seed), {"xx": ["vrok", "gadhu"], "yy": ["zumpe", "kwix"]}
+    rows = []
+    for k in range(n):
+        lang, toxic = ("xx", "yy")[k % 2], k % 5 == 0
+        word = lambda: "".join(r.choice(SYLLABLES[lang]) for _ in range(r.randint(1, 4)))
+        w = [word() for _ in range(r.randint(60, 160))]
+        if toxic:
+            for _ in range(max(3, len(w) // 25)):
+                w[r.randrange(len(w))] = r.choice(stems[lang]) + word()
+        elif k % 7 == 0:
+            w[3] = stems["yy" if lang == "xx" else "xx"][0]
+        rows.append((k, " ".join(w), lang, int(toxic)))
+    return rows
+
+
+def test_toxicity_finds_stems_in_several_languages(ready):
+    rows = stem_corpus()
+    d = ready.createDataFrame([(k, t, g, "s", len(t)) for k, t, g, _ in rows] + [(9000, None, "xx", "s", None), (9001, "", None, "s", 0), (9002, "an er in", "zz", "s", 3)], DOCS)
+    labels = ready.createDataFrame([(k, 1, y) for k, _, _, y in rows if k % 3] + [(1, 1, None), (77777, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: (x.toxic, x.distance) for x in toxicity.classify(d, labels).collect()}
+    held = [(k, g, y) for k, _, g, y in rows if k % 3 == 0]
+    for lang in ("xx", "yy"):
+        assert np.mean([got[k][0] for k, g, y in held if g == lang and y]) >= 0.8, lang
+        assert np.mean([got[k][0] for k, g, y in held if g == lang and not y]) <= 0.06, lang
+    assert not got[9000][0] and not got[9001][0] and all(t == (x >= 0) for t, x in got.values())
+
+
+def test_toxicity_distance_against_plain_compression():
+    import zstandard
+
+    rows = stem_corpus(200, 4)
+    m = toxicity.fit([(k % 5, t, y) for k, t, g, y in rows if g == "xx"])
+    judge = toxicity.Judge({"xx": m})
+    size = max(len(m["ordinary"]), len(m["toxic"]))
+    p = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
+    plain = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(m["base"] + m[k].rjust(size), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p) for k in ("ordinary", "toxic")]
+    for _, t, _, _ in rows[:40]:
+        w = re.findall(r"[a-z]+", t)
+        total = 0.0
+        for i in range(0, len(w), toxicity.WORDS):
+            piece = (" " + " ".join(w[i : i + toxicity.WORDS]) + " ").encode()
+            gain = len(plain[0].compress(piece)) - len(plain[1].compress(piece))
+            total += m["table"][min(max(gain, toxicity.LOW), toxicity.HIGH) - toxicity.LOW]
+        assert judge(t, "xx") == pytest.approx(total - m["threshold"])
+    assert judge(None, "xx") == judge("  ", "xx") == -m["threshold"] < 0
+
+
 def test_quality_held_out(ready):
     d, labels = labelled_corpus(ready)
     got = {x.doc_id: x for x in quality.classify(d, labels).collect()}
