@@ -1,9 +1,11 @@
 """Document fingerprints by MinHash: universal hash permutations over word shingles, banded signatures, verified Jaccard.
 
-Each distinct shingle set gets 128 minima of multiply-shift universal hashes (numpy, all documents of a slice at a time).
+Each distinct shingle set of a task gets 128 minima of multiply-shift universal hashes (numpy, all documents of a slice at a time).
 32 bands of 4 minima are joined in Spark: sets that share a band meet, and a sketch of two bits a minimum, which travels
-with the band, drops pairs whose estimated similarity is more than SLACK below the threshold. What is left falls into
-connected groups, in which Jaccard is verified on the whole shingle sets, for all pairs (regions.join_region).
+with the band, drops pairs whose estimated similarity is more than SLACK below the threshold. Bands of more than HOT sets
+are connected as they are, first within each task, so that one of them goes on, then across tasks: no set is compared with
+all others, and none is left out. What is left falls into connected groups, in which Jaccard is verified on the whole
+shingle sets, for all pairs (regions).
 
 A pair of similarity s shares a band with probability 1 - (1 - s^4)^32: 0.988 at 0.6, above 0.999 from 0.67; a pair of a group
 is also found through other members.
@@ -18,15 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio_spark.llm.regions import digest, forest, named_pairs, verified
+from folio_spark.llm.regions import digest, forest, named_classes, named_pairs, pairs_of, regions_of
 from folio_spark.llm.text import gram_sets, mix, slices
 from folio_spark.session import written
 
 #: Words of a shingle, least similarity, bands, minima of a band, slack of the sketch's estimate (3.7 standard deviations).
 N, THRESHOLD, BANDS, ROWS, SLACK, SEED = 3, 0.6, 32, 4, 0.2, 11
+#: Sets of a band that are compared with each other, at most; sets whose bands are met in a task at a time.
+HOT, STRETCH = 1024, 50_000
 #: Shingles that are hashed at a time: what fits a processor's cache.
 CHUNK = 32_768
 
@@ -79,53 +84,102 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _signed(n: int):
+    """(doc_id, id, size, bands, sketch) of each row; bands and sketch once for each set of a task, id is null for an empty set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for p in slices(b, "text"):
                 sets = gram_sets(p.column(1), n)
-                keep = [k for k, s in enumerate(sets) if len(s)]
-                own = [sets[k] for k in keep]
-                sig = signatures(own)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        p.column(0).take(pa.array(keep, pa.int64())),
-                        pa.array([digest(s) for s in own], pa.int64()),
-                        pa.array([len(s) for s in own], pa.int32()),
-                        pa.array(list(band_keys(sig)), pa.list_(pa.int64())),
-                        pa.array([r.tobytes() for r in sketches(sig)], pa.binary()),
-                    ],
-                    ["doc_id", "id", "size", "bands", "sketch"],
-                )
+                names = [digest(s) if len(s) else None for s in sets]
+                fresh = []
+                for k, name in enumerate(names):
+                    if name is not None and name not in seen:
+                        seen.add(name)
+                        fresh.append(k)
+                sig = signatures([sets[k] for k in fresh])
+                bands, sketch = [None] * len(sets), [None] * len(sets)
+                for k, x, y in zip(fresh, band_keys(sig), sketches(sig)):
+                    bands[k], sketch[k] = x.tobytes(), y.tobytes()
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bands, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "id", "size", "bands", "sketch"])
 
     return run
 
 
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, id, size, sketch, other): a set in a band. Bands of more than HOT sets of a stretch go on with one set only (size
+    below zero), to which the stretch's other sets are connected: rows with other."""
+    names = ["band", "id", "size", "sketch", "other"]
+    held: list[tuple] = []
+
+    def out():
+        ids, sizes, keys, sketch = (np.concatenate(x) for x in zip(*held))
+        at, band = np.repeat(np.arange(len(ids)), BANDS), keys.reshape(-1)
+        _, code, count = np.unique(band, return_inverse=True, return_counts=True)
+        hot = count[code] > HOT
+        wild = np.zeros(len(band), bool)
+        if hot.any():
+            h = np.nonzero(hot)[0]
+            h = h[np.lexsort((ids[at[h]], code[h]))]
+            first = np.append(True, code[h][1:] != code[h][:-1])
+            lead = h[np.nonzero(first)[0][np.cumsum(first) - 1]]
+            a, b = forest(ids[at[lead[~first]]], ids[at[h[~first]]])
+            none = pa.nulls(len(a), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(a), none, pa.nulls(len(a), pa.binary()), pa.array(b)], names)
+            wild[h[first]] = True
+            keep = np.nonzero(~hot | wild)[0]
+            at, band, wild = at[keep], band[keep], wild[keep]
+        for i in range(0, len(at), 50_000):
+            k = at[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(band[i : i + 50_000]), pa.array(ids[k]), pa.array(np.where(wild[i : i + 50_000], -sizes[k], sizes[k])), pa.array(sketch[k].tolist(), pa.binary()), pa.nulls(len(k), pa.int64())], names)
+
+    total = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sketch = np.empty(b.num_rows, object)
+        sketch[:] = b.column(3).to_pylist()
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64).reshape(-1, BANDS), sketch))
+        total += b.num_rows
+        if total >= STRETCH:
+            yield from out()
+            held, total = [], 0
+    if held:
+        yield from out()
+
+
 def _meet(t: float):
-    """(a, b): edges that connect the sets of a common band whose sizes and sketches allow a similarity of t. Rows come sorted by band."""
+    """(a, b): edges that connect the sets of a common band whose sizes and sketches allow a similarity of t; all sets of a hot band. Rows come sorted by band."""
 
     def pairs(band, ids, size, sketch):
-        order = np.lexsort((ids, band))
+        order = np.lexsort((size > 0, ids, band))
         band, ids, size, sketch = band[order], ids[order], size[order], sketch[order]
         once = np.ones(len(band), bool)  # equal sets count once
         once[1:] = (band[1:] != band[:-1]) | (ids[1:] != ids[:-1])
         band, ids, size, sketch = band[once], ids[once], size[once], sketch[once]
-        left, right = [], []
-        shift = 1
-        while shift < len(band):
-            same = band[:-shift] == band[shift:]
-            if not same.any():
+        starts = np.nonzero(np.append(True, band[1:] != band[:-1]))[0]
+        count = np.diff(np.append(starts, len(band)))
+        hot = np.repeat((count > HOT) | np.logical_or.reduceat(size < 0, starts), count)
+        lead = np.repeat(starts, count)
+        left, right = [ids[lead[hot]]], [ids[hot]]
+        for shift in range(1, HOT):
+            same = (band[:-shift] == band[shift:]) & ~hot[shift:]
+            if shift >= len(band) or not same.any():
                 break
             at = np.nonzero(same & (np.minimum(size[:-shift], size[shift:]) >= t * np.maximum(size[:-shift], size[shift:]) - 1e-6))[0]
             at = at[similarity(sketch[at], sketch[at + shift]) >= t - SLACK]
             left.append(ids[at]), right.append(ids[at + shift])
-            shift += 1
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        a, b = forest(a, b)  # groups are enough: all their pairs are verified
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        a, b = forest(np.concatenate(left), np.concatenate(right))  # groups are enough: all their pairs are verified
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for x in batches:
+            edge = pa.compute.is_valid(x.column(4))
+            known = x.filter(edge)
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column(1), known.column(4)], ["a", "b"])
+                x = x.filter(pa.compute.invert(edge))
             if not x.num_rows:
                 continue
             own = (x.column(0).to_numpy(), x.column(1).to_numpy(), x.column(2).to_numpy().astype(np.int64), np.frombuffer(b"".join(x.column(3).to_pylist()), np.uint64).reshape(x.num_rows, BANDS * ROWS // 32))
@@ -133,17 +187,37 @@ def _meet(t: float):
                 own = tuple(np.concatenate(c) for c in zip(held, own))
             cut = int(np.searchsorted(own[0], own[0][-1]))  # the last band may go on in the next batch
             held = tuple(c[cut:] for c in own)
-            yield pairs(*(c[:cut] for c in own))
+            if cut:
+                yield pairs(*(c[:cut] for c in own))
+            if len(held[0]) > 8 * HOT:  # of a hot band one set goes on
+                yield pairs(*held)
+                held = (held[0][:1], held[1].min(keepdims=True), np.full(1, -1, np.int64), held[3][:1])
         if held is not None:
             yield pairs(*held)
 
     return run
 
 
+def near_regions(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
+    """(classes: doc_id, id; regions of sets that may be similar). docs: doc_id, text."""
+    signed = written(docs.mapInArrow(_signed(n), "doc_id long, id long, size int, bands binary, sketch binary"), "signatures")
+    rows = signed.where("bands is not null").select("id", "size", "bands", "sketch").mapInArrow(_banded, "band long, id long, size int, sketch binary, other long")
+    edges = rows.repartition("band").sortWithinPartitions("band").mapInArrow(_meet(t), "a long, b long").distinct()
+    classes = signed.select("doc_id", "id")
+    return classes, regions_of(docs, classes, edges, n, t)
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
 def fingerprint_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_a, doc_b, jaccard, kind) of near-duplicate documents; see regions.named_pairs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(docs.mapInArrow(_signed(n), "doc_id long, id long, size int, bands array<long>, sketch binary"), "signatures")
-    rows = signed.select(F.explode("bands").alias("band"), "id", "size", "sketch").repartition("band").sortWithinPartitions("band")
-    edges = rows.select("band", "id", "size", "sketch").mapInArrow(_meet(t), "a long, b long").distinct()
-    return named_pairs(signed.select("doc_id", "id"), verified(docs, signed.select("doc_id", "id"), edges, n, t))
+    classes, rows = near_regions(_named(docs, id_col, text_col), n, t)
+    return named_pairs(classes.where("id is not null"), pairs_of(rows, t))
+
+
+def fingerprint_classes(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, copy_of, n_links) of each document; see regions.named_classes."""
+    classes, rows = near_regions(_named(docs, id_col, text_col), n, t)
+    return named_classes(classes, rows, t)

@@ -1,11 +1,15 @@
-"""Exact Jaccard joins inside a region, recursive by pivots; connected components; the sets of chosen documents.
-
-join_region takes n-gram sets (sorted distinct hashes) and finds all pairs of Jaccard similarity t or more. Jaccard
-distance is a metric: pivots are drawn from the region, each set's home is its nearest pivot's Voronoi region, and a set
-is replicated to each region whose pivot is at most 2r farther than its own (r = 1 - t) and within that region's radius
-plus r. A pair is found in the home region of its first member, where its second member must be present by the triangle
-inequality. Regions are joined again in the same way until they are small or don't shrink; then all their pairs are
-counted by a product of membership matrices, in blocks, so that no pair is left out.
+"""Exact Jaccard joins of regions by pivots, in Spark and inside a task; connected components; the sets of chosen documents.
+
+Sets are n-gram sets (sorted distinct hashes of GRAM_BYTES bytes). Jaccard distance is a metric: pivots are drawn from a
+region, each set's home is its nearest pivot's Voronoi region if that pivot is at most RADIUS away, else the rest. A set is
+replicated to each region whose pivot is at most 2r farther than its own (r = 1 - t) and within that region's radius plus r,
+and to the rest unless some pivot is nearer than RADIUS - r. A pair is found in the home region of its lesser member,
+where the other must be present by the triangle inequality.
+
+split_large does so in Spark for regions of more than REGION sets, level by level, with at most BIG regions at a time, so
+that at most BIG x SPLIT x PIVOT_GRAMS hashes are broadcast (a pivot need not be a member, so long ones are thinned).
+join_region does it inside a task until a region has at most LEAF sets or doesn't shrink; then all its pairs are counted by
+a product of membership matrices, in blocks, so that no pair is left out.
 """
 
 from __future__ import annotations
@@ -21,8 +25,13 @@ from pyspark.sql import functions as F
 from folio_spark.llm.text import gram_sets, slices
 from folio_spark.session import written
 
-#: Sets up to which a region is a leaf; pivots of a split; deepest split; columns of a membership matrix; ids up to which a semi-join is broadcast.
-LEAF, PIVOTS, DEEPEST, COLUMNS, BROADCAST_IDS = 512, 12, 6, 4096, 2_000_000
+#: Sets up to which a region is a leaf; pivots of a split in a task, at least, and one for each so many sets; deepest split; rows and columns of a membership matrix; bytes of ids up to which a semi-join is broadcast, and of an id.
+LEAF, PIVOTS, PER_PIVOT, DEEPEST, BLOCK, COLUMNS, BROADCAST_BYTES, ID_BYTES = 256, 12, 64, 16, 512, 4096, 32_000_000, 16
+#: Sets of a region that one task joins; regions split at a time; pivots of each; hashes of a pivot; splits in Spark; copies of a set, on average, from which a region isn't split further; bytes of a hash when sets are shuffled.
+REGION, BIG, SPLIT, PIVOT_GRAMS, LEVELS, SPREAD, GRAM_BYTES = 4096, 8, 128, 4000, 400, 3, 6
+
+#: Squares of the parts' sizes, against the region's, from which splitting gains nothing.
+STUCK = 0.9
 
 Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -46,9 +55,9 @@ def _products(sets: list[np.ndarray], t: float) -> Pairs:
     width = int((df > 1).sum())
     cuts = np.searchsorted(codes, np.arange(0, width + COLUMNS, COLUMNS))
     out = []
-    for a in range(0, n, LEAF):
-        for b in range(a, n, LEAF):
-            na, nb = min(LEAF, n - a), min(LEAF, n - b)
+    for a in range(0, n, BLOCK):
+        for b in range(a, n, BLOCK):
+            na, nb = min(BLOCK, n - a), min(BLOCK, n - b)
             shared = np.zeros((na, nb), np.float32)
             for k in range(len(cuts) - 1):
                 c, o = codes[cuts[k] : cuts[k + 1]] - k * COLUMNS, owner[cuts[k] : cuts[k + 1]]
@@ -72,38 +81,45 @@ def _products(sets: list[np.ndarray], t: float) -> Pairs:
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def _distances(sets: list[np.ndarray], pivots: list[int]) -> np.ndarray:
+def _distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
     grams, owner = _flat(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     out = np.zeros((len(sets), len(pivots)))
     for k, p in enumerate(pivots):
-        at = np.minimum(np.searchsorted(sets[p], grams), len(sets[p]) - 1)
-        shared = np.bincount(owner[sets[p][at] == grams], minlength=len(sets))
-        out[:, k] = 1 - shared / (sizes + len(sets[p]) - shared)
+        at = np.minimum(np.searchsorted(p, grams), len(p) - 1)
+        shared = np.bincount(owner[p[at] == grams], minlength=len(sets))
+        out[:, k] = 1 - shared / (sizes + len(p) - shared)
     return out
 
 
+def homes(d: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home, inside) for distances to pivots: the home region of each set (the last one is the rest), and which sets each region holds."""
+    n, k = d.shape
+    radius = 1 - r - 2e-9 if r < 0.5 else 1.0  # beyond it, what is at distance 1 from all pivots can't come near a region
+    near = d.min(axis=1)
+    home = np.where(near <= radius, d.argmin(axis=1), k)
+    inside = np.zeros((n, k + 1), bool)
+    for j in range(k):
+        own = home == j
+        if own.any():
+            inside[:, j] = (d[:, j] <= near + 2 * r) & (d[:, j] <= d[own, j].max() + r)
+    inside[:, k] = near > radius - r if (home == k).any() else False
+    return home, inside
+
+
 def join_region(sets: list[np.ndarray], t: float, depth: int = 0) -> Pairs:
     """(i, j, shared) for all i < j of similarity t or more; no set is empty."""
     n = len(sets)
     if n <= LEAF or depth == DEEPEST:
         return _products(sets, t)
     rng = np.random.default_rng(n * 31 + depth)
-    pivots = sorted(rng.choice(n, PIVOTS, replace=False).tolist())
-    d = _distances(sets, pivots)
-    home = d.argmin(axis=1)
-    near = d[np.arange(n), home]
-    r = 1 - t + 1e-9
-    inside = []
-    for k in range(PIVOTS):
-        own = home == k
-        inside.append((d[:, k] <= near + 2 * r) & (d[:, k] <= near[own].max() + r) if own.any() else np.zeros(n, bool))
-    cost = sum(float(x.sum()) ** 2 for x in inside)
-    if cost > 0.8 * n * n:  # the regions overlap so much that splitting gains nothing
+    pivots = sorted(rng.choice(n, max(PIVOTS, n // PER_PIVOT), replace=False).tolist())
+    home, inside = homes(_distances(sets, [sets[p] for p in pivots]), 1 - t + 1e-9)
+    if (inside.sum(axis=0).astype(float) ** 2).sum() > STUCK * n * n:  # the regions overlap so much that splitting gains nothing
         return _products(sets, t)
     out = []
-    for k in range(PIVOTS):
-        member = np.nonzero(inside[k])[0]
+    for k in range(inside.shape[1]):
+        member = np.nonzero(inside[:, k])[0]
         if len(member) > 1:
             i, j, c = join_region([sets[m] for m in member], t, depth + 1)
             i, j = member[i], member[j]
@@ -130,9 +146,21 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
 
 
-def semi_by_id(docs: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """The rows of docs whose id is among ids (distinct): a broadcast if they are checked to be few, else a shuffle."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
+def small(df: DataFrame, rows: int, row_bytes: int = ID_BYTES) -> DataFrame:
+    """df to be broadcast if its size, by its counted rows, is within the bound; else as it is, for a shuffle."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def packed(grams: np.ndarray) -> bytes:
+    """A set's hashes, GRAM_BYTES of each: those equal in these bytes count as one gram."""
+    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES]).tobytes()
+
+
+def unpacked(body: bytes) -> np.ndarray:
+    """The sorted distinct hashes."""
+    out = np.zeros((len(body) // GRAM_BYTES, 8), np.uint8)
+    out[:, :GRAM_BYTES] = np.frombuffer(body, np.uint8).reshape(-1, GRAM_BYTES)
+    return np.unique(out.reshape(-1).view("<u8"))
 
 
 def digest(grams: np.ndarray) -> int:
@@ -141,70 +169,198 @@ def digest(grams: np.ndarray) -> int:
 
 
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """(id, body): each row's n-gram set, by digest, as bytes; not empty ones. docs: text."""
+    """(id, body): each row's n-gram set, by digest, packed; not empty ones. docs: text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in slices(b, "text"):
                 sets = [s for s in gram_sets(p.column(0), n) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())], ["id", "body"])
 
     return docs.select("text").mapInArrow(run, "id long, body binary")
 
 
-def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, n: int, t: float) -> DataFrame:
-    """(doc_a, doc_b, jaccard): the pairs of similarity t or more within the components of edges (a, b), each set by the least id
-    of its documents. docs: doc_id, text; classes: doc_id, id."""
-    regions = components(edges)
-    members = written(regions.join(least_ids(classes), "id"), "members")
-    bodies = set_rows(semi_by_id(docs, members.select("doc_id").distinct(), "doc_id"), n)
-    few = members.count() <= BROADCAST_IDS  # then the sets are shuffled once, to their regions
-    return join_regions(bodies.join(F.broadcast(members) if few else members, "id"), t)
-
-
 def least_ids(classes: DataFrame) -> DataFrame:
     """id, doc_id: the least id of the documents of each set."""
     return classes.where("doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
 
 
-def named_pairs(classes: DataFrame, near: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, jaccard, kind). Documents of the same set are 'copy' rows against the least id among them; those least
-    ids of two similar sets are a 'near' row. Two documents are similar exactly if they, or the least ids of their sets, are
-    the same or such a pair."""
-    least = least_ids(classes).withColumnRenamed("doc_id", "least")
-    copies = classes.join(least, "id").where("doc_id > least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"), F.lit("copy").alias("kind")).distinct()
-    return copies.unionByName(near.select("doc_a", "doc_b", "jaccard", F.lit("near").alias("kind")))
+def regions_of(docs: DataFrame, classes: DataFrame, edges: DataFrame, n: int, t: float) -> DataFrame:
+    """(root, id, home, body): the sets of the components of edges (a, b) as regions of at most REGION sets, if pivots can
+    split them. docs: doc_id, text; classes: doc_id, id."""
+    members = written(components(edges).join(least_ids(classes), "id").select("root", "id", "doc_id"), "members")
+    count = members.count()
+    wanted = small(members.select("doc_id").distinct(), count, 8)
+    bodies = set_rows(docs.join(wanted, "doc_id", "left_semi"), n)
+    rows = bodies.join(small(members.select("id", "root"), count), "id").select("root", "id", F.lit(True).alias("home"), "body")
+    sizes = members.groupBy("root").count().where(F.col("count") > REGION)
+    if not sizes.limit(1).count():
+        return rows
+    rows = written(rows, "regions")  # as regions are counted and split again and again
+    return split_large(rows, t)
+
+
+def split_large(rows: DataFrame, t: float) -> DataFrame:
+    """Regions (root, id, home, body) of more than REGION sets split by pivots, level by level."""
+    done: list[DataFrame] = []
+    for level in range(LEVELS):
+        large = rows.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > REGION).orderBy(F.desc("n"), "root").limit(BIG).collect()  # BIG rows at most
+        if not large:
+            break
+        roots = [x.root for x in large]
+        own = rows.where(F.col("root").isin(roots))
+        drawn = F.xxhash64("id", F.lit(level))
+        least = own.groupBy("root", F.pmod(F.xxhash64("id"), F.lit(SPLIT)).alias("k")).agg(F.min(drawn).alias("least")).collect()  # BIG x SPLIT rows at most
+        pivots: dict[int, list[np.ndarray]] = {}
+        for x in own.where(drawn.isin([x.least for x in least])).select("root", "id", "body").dropDuplicates(["root", "id"]).collect():  # as many
+            s = unpacked(x.body)
+            pivots.setdefault(x.root, []).append(s[:: -(-len(s) // PIVOT_GRAMS)])
+        for x in pivots.values():
+            x.sort(key=lambda p: (len(p), p.tobytes()))
+        radii = _radii(own, pivots, t)
+        known = own.sparkSession.sparkContext.broadcast((pivots, radii))
+        parts = written(own.select("root", "id", "home", "body").mapInArrow(_replicated(known, t, level), "old long, root long, id long, home boolean, body binary"), "regions")
+        before = {x.root: x.n for x in large}
+        after = parts.groupBy("old", "root").agg(F.count("*").alias("n")).groupBy("old").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("c"), F.sum("n").alias("n")).collect()  # BIG rows at most
+        stuck = [x.old for x in after if x.c > STUCK * before[x.old] ** 2 or x.n > SPREAD * before[x.old] or level == LEVELS - 1]
+        if stuck:  # such a region is joined as it is: nearly all its sets are near each other
+            done.append(rows.where(F.col("root").isin(stuck)))
+        split = parts.where(~F.col("old").isin(stuck)) if stuck else parts
+        rows = rows.where(~F.col("root").isin(roots)).unionByName(split.drop("old"))
+    for d in done:
+        rows = rows.unionByName(d)
+    return rows
+
+
+def _radii(own: DataFrame, pivots: dict[int, list[np.ndarray]], t: float) -> dict[int, np.ndarray]:
+    """For each region, the greatest distance of a set to the pivot that is its home; -1 for regions without a home, the rest last (1 if it has any)."""
+    known = own.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], float] = {}
+        for b in batches:
+            for roots, sets, _ in _by_root(b):
+                d = _distances(sets, known.value[roots])
+                home, _ = homes(d, 1 - t + 1e-9)
+                for k in np.unique(home):
+                    at = home == k
+                    far = 1.0 if k == d.shape[1] else float(d[at, k].max())
+                    best[roots, int(k)] = max(far, best.get((roots, int(k)), -1.0))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in best], pa.int64()), pa.array([k[1] for k in best], pa.int32()), pa.array(list(best.values()), pa.float64())], ["root", "k", "far"])
+
+    out = {r: np.full(len(p) + 1, -1.0) for r, p in pivots.items()}
+    for x in own.select("root", "id", "home", "body").mapInArrow(run, "root long, k int, far double").groupBy("root", "k").agg(F.max("far").alias("far")).collect():  # BIG x SPLIT rows at most
+        out[x.root][x.k] = x.far
+    return out
+
+
+def _by_root(b: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """(root, sets, row numbers) of a batch of root, id, home, body."""
+    root = b.column(0).to_numpy()
+    for r in np.unique(root):
+        at = np.nonzero(root == r)[0]
+        yield int(r), [unpacked(b.column(3)[k].as_py()) for k in at.tolist()], at
 
 
-def join_regions(members: DataFrame, t: float) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b, of all pairs of similarity t or more in each region. members: root, id, doc_id, body; repeated ids count once."""
+def _replicated(known, t: float, level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, radii = known.value
+        r = 1 - t + 1e-9
+        for b in batches:
+            for root, sets, at in _by_root(b):
+                d = _distances(sets, pivots[root])
+                home, _ = homes(d, r)
+                near, far = d.min(axis=1), radii[root]
+                radius = 1 - r - 2e-9 if r < 0.5 else 1.0
+                for k in range(d.shape[1] + 1):
+                    if far[k] < 0:
+                        continue
+                    inside = (d[:, k] <= near + 2 * r) & (d[:, k] <= far[k] + r) if k < d.shape[1] else near > radius - r
+                    take = at[inside]
+                    if len(take):
+                        name = xxhash.xxh64_intdigest(f"{root}/{level}/{k}") - 2**63
+                        part = b.take(pa.array(take))
+                        own = np.array(part.column(2).to_pylist(), bool) & (home[inside] == k)
+                        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(take), name)), part.column(1), pa.array(own), part.column(3)], ["old", "root", "id", "home", "body"])
+
+    return run
+
+
+def _found(rows: DataFrame, t: float, make, schema: str) -> DataFrame:
+    """make(ids, i, j, shared, sizes) of the pairs of each region; ids are ascending, so i is the lesser."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, ids, docs, sets = None, [], [], []
+        root, ids, home, sets = None, [], [], []
 
-        def found():
-            _, order = np.unique(np.array(ids, np.int64), return_index=True)
-            own, name = [sets[k] for k in order], np.array(docs, np.int64)[order]
+        def out():
+            name, order = np.unique(np.array(ids, np.int64), return_index=True)
+            own = [sets[k] for k in order]
             i, j, c = join_region(own, t)
-            size = np.array([len(s) for s in own], np.int64)
-            real = name[i] != name[j]
-            i, j, c = i[real], j[real], c[real]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(name[i], name[j])), pa.array(np.maximum(name[i], name[j])), pa.array(c / (size[i] + size[j] - c), pa.float64())], ["doc_a", "doc_b", "jaccard"])
+            mine = np.array(home, bool)[order][i]
+            return make(name, i[mine], j[mine], c[mine], np.array([len(s) for s in own], np.int64))
 
         for batch in batches:
-            for r, i, d, s in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for r, i, h, s in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if r != root and ids:
-                    yield found()
-                    ids, docs, sets = [], [], []
+                    yield out()
+                    ids, home, sets = [], [], []
                 root = r
                 ids.append(i)
-                docs.append(d)
-                sets.append(np.frombuffer(s, np.uint64))
+                home.append(h)
+                sets.append(unpacked(s))
         if ids:
-            yield found()
+            yield out()
+
+    return rows.select("root", "id", "home", "body").repartition("root").sortWithinPartitions("root").mapInArrow(run, schema)
+
+
+def pairs_of(rows: DataFrame, t: float) -> DataFrame:
+    """(a, b, jaccard): the sets, by id, of similarity t or more."""
+
+    def make(ids, i, j, c, size):
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(c / (size[i] + size[j] - c), pa.float64())], ["a", "b", "jaccard"])
 
-    rows = members.select("root", "id", "doc_id", "body").repartition("root").sortWithinPartitions("root")
-    return rows.mapInArrow(run, "doc_a long, doc_b long, jaccard double")
+    return _found(rows, t, make, "a long, b long, jaccard double")
+
+
+def links_of(rows: DataFrame, t: float) -> DataFrame:
+    """(a, b, n): for each region edges (a, b) that connect what is similar, and (a, null, n): n similar sets of a. As many rows as sets, not as pairs."""
+
+    def make(ids, i, j, c, size):
+        n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+        at = np.nonzero(n)[0]
+        a, b = forest(ids[i], ids[j])
+        none = pa.nulls(len(at), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a, pa.int64()), pa.array(ids[at], pa.int64())]), pa.concat_arrays([pa.array(b, pa.int64()), none]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(n[at], pa.int64())])], ["a", "b", "n"])
+
+    return _found(rows, t, make, "a long, b long, n long")
+
+
+def named_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_a, doc_b, jaccard, kind). Documents of the same set are 'copy' rows against the least id among them; those least
+    ids of two similar sets are a 'near' row. Two documents are similar exactly if they, or the least ids of their sets, are
+    the same or such a pair."""
+    least = least_ids(classes)
+    first, second = least.select(F.col("id").alias("a"), F.col("doc_id").alias("x")), least.select(F.col("id").alias("b"), F.col("doc_id").alias("y"))
+    near = pairs.join(first, "a").join(second, "b").where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard", F.lit("near").alias("kind"))
+    least = least.withColumnRenamed("doc_id", "least")
+    copies = classes.join(least, "id").where("doc_id > least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"), F.lit("copy").alias("kind")).distinct()
+    return copies.unionByName(near)
+
+
+def named_classes(classes: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+    """(doc_id, class_id, copy_of, n_links), one row for each id and set: the least id of the documents that similarity
+    connects, the least id of the same set, and the number of other sets that are similar. classes: doc_id, id (null: no set)."""
+    found = written(links_of(rows, t), "links")
+    links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+    groups = components(found.where("b is not null").select("a", "b"))
+    one = least_ids(classes.where("id is not null")).withColumnRenamed("doc_id", "copy_of")
+    named = one.join(groups, "id", "left").join(links, "id", "left").select("id", "copy_of", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    first = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
+    sets = named.join(first, "root").select("id", "class_id", "copy_of", "n_links")
+    docs = classes.where("doc_id is not null").select("doc_id", "id").distinct()
+    alone = docs.where("id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
+    return docs.join(sets, "id").select("doc_id", "class_id", "copy_of", "n_links").unionByName(alone)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

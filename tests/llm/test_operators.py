@@ -252,6 +252,63 @@ def test_ngram_join_is_exact(ready, monkeypatch, paired):
     assert got == pytest.approx(brute(rows, ngram_join.N, ngram_join.THRESHOLD))
 
 
+def classes_by_hand(rows, n, t):
+    """doc_id -> (class_id, copy_of, n_links) by brute force over all pairs."""
+    sets = {i: tuple(s.tolist()) for (i, _), s in zip(rows, gram_sets(pa.array([x[1] for x in rows], pa.string()), n))}
+    root, links = {i: i for i in sets}, {i: set() for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in brute(rows, n, t):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+        if sets[a] != sets[b]:
+            links[a].add(sets[b])
+            links[b].add(sets[a])
+    copy = {}
+    for i in sorted(sets):
+        copy.setdefault(sets[i] or i, i)
+    return {i: (find(i), copy[sets[i] or i], len(links[i])) for i in sets}
+
+
+@pytest.mark.parametrize("form", ["ngram_join", "large_regions", "hot_grams"])
+def test_ngram_classes_are_exact(ready, monkeypatch, form):
+    if form == "large_regions":
+        monkeypatch.setattr(ngram_join, "PAIRED", 2)
+        monkeypatch.setattr(regions, "REGION", 14)
+    rows = near_corpus(21, 90)
+    if form == "hot_grams":  # stretches in which a gram is met
+        monkeypatch.setattr(ngram_join, "HOT", 3)
+    got = {x.doc_id: (x.class_id, x.copy_of, x.n_links) for x in ngram_join.near_classes(docs_of(ready, rows)).collect()}
+    assert got == classes_by_hand(rows, ngram_join.N, ngram_join.THRESHOLD)
+
+
+@pytest.mark.parametrize("t,size", [(0.6, 10), (0.6, 40), (0.4, 30)])
+def test_split_in_spark_is_exact(ready, monkeypatch, t, size):
+    monkeypatch.setattr(regions, "REGION", size)
+    monkeypatch.setattr(regions, "SPLIT", 40)
+    rows = [(k, x) for k, (_, x) in enumerate(near_corpus(31, 70)) if x]
+    sets = gram_sets(pa.array([x for _, x in rows], pa.string()), 3)
+    kinds = sorted({regions.digest(s): s for s in sets}.items())
+    d = ready.createDataFrame([(7, i, True, bytearray(regions.packed(s))) for i, s in kinds], "root long, id long, home boolean, body binary")
+    split = regions.split_large(d, t)
+    assert t < 0.5 or split.select("root").distinct().count() > 3  # below, unlike sets can't be told apart by pivots
+    got = sorted((x.a, x.b) for x in regions.pairs_of(split, t).collect())
+    want = sorted((a, b) for a, s in kinds for b, u in kinds if a < b and len(np.intersect1d(s, u)) >= t * len(np.union1d(s, u)) - 1e-9)
+    assert got == want and len(want) > 20
+
+
+def test_hot_bands_stay_connected(ready, monkeypatch):
+    monkeypatch.setattr(fingerprints, "HOT", 3)
+    rows = near_corpus(9)
+    got = {x.doc_id: x.class_id for x in fingerprints.fingerprint_classes(docs_of(ready, rows)).collect()}
+    want = classes_by_hand(rows, fingerprints.N, fingerprints.THRESHOLD)
+    assert np.mean([got[i] == want[i][0] for i in got]) > 0.95 and set(got) == set(want)
+
+
 def test_ngram_join_finds_spread_insertions(ready):
     words = [f"w{k}" for k in range(400)]
     at = {(k * 400) // 41 for k in range(1, 41)}
@@ -467,9 +524,9 @@ def test_no_labels(ready):
 OPERATORS = {
     "secret": lambda d, y: secret_scan.scan(d), "redact": lambda d, y: secret_scan.redact(d), "license": lambda d, y: license_scan.scan(d), "fingerprints": lambda d, y: fingerprints.fingerprint_pairs(d),
     "mix": lambda d, y: mixing.mix(d), "mix_rows": lambda d, y: mixing.mix_rows(d), "quality": quality.classify, "toxicity": toxicity.classify, "drop_toxic": toxicity.drop_toxic,
-    "join": lambda d, y: ngram_join.near_pairs(d), "drop_near": lambda d, y: ngram_join.drop_near(d), "pack": lambda d, y: packing.pack(d),
+    "classes": lambda d, y: ngram_join.near_classes(d), "prints": lambda d, y: fingerprints.fingerprint_classes(d), "join": lambda d, y: ngram_join.near_pairs(d), "drop_near": lambda d, y: ngram_join.drop_near(d), "pack": lambda d, y: packing.pack(d),
 }
-COUNTS = {"secret": 0, "redact": 8, "license": 0, "fingerprints": 0, "mix": 5, "mix_rows": 5, "quality": 8, "toxicity": 8, "drop_toxic": 8, "join": 0, "drop_near": 7}
+COUNTS = {"secret": 0, "redact": 8, "license": 0, "fingerprints": 0, "mix": 5, "mix_rows": 5, "quality": 8, "toxicity": 8, "drop_toxic": 8, "join": 0, "drop_near": 7, "classes": 6, "prints": 6}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
