@@ -41,19 +41,24 @@ def pack(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str =
     placed = rows.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(bases), "slot")
     placed = placed.withColumn("first", F.col("base") + F.col("upto") - F.col("n")).withColumn("last", F.col("base") + F.col("upto") - 1)
     per = F.lit(length).cast("long")
-    parts = placed.select("doc_id", "n", "first", "last", words(F.col("body")).alias("w"), F.floor(F.col("first") / per).alias("a"), F.floor(F.col("last") / per).alias("b"))
-    parts = parts.select("doc_id", "n", "first", "last", "w", F.explode(F.sequence("a", "b")).alias("window_id"))
-    lo, hi = F.greatest(F.col("first"), F.col("window_id") * per), F.least(F.col("last"), F.col("window_id") * per + per - 1)
-    parts = parts.withColumn("lo", lo - F.col("first")).withColumn("hi", hi - F.col("first"))
+    lo = lambda k: F.greatest(F.col("first"), k * per) - F.col("first")
+    hi = lambda k: F.least(F.col("last"), k * per + per - 1) - F.col("first")
+
+    def part(w, k):
+        """A window's part; w is bound once for a row, so a text is split once and each word copied once."""
+        return F.struct(k.alias("window_id"), lo(k).alias("lo"), hi(k).alias("hi"), F.array_join(F.slice(w, (lo(k) + 1).cast("int"), (hi(k) - lo(k) + 1).cast("int")), " ").alias("text"))
+
+    cut = F.transform(F.array(words(F.col("body"))), lambda w: F.transform(F.sequence(F.floor(F.col("first") / per), F.floor(F.col("last") / per)), lambda k: part(w, k)))
+    parts = placed.select("doc_id", "n", "first", F.explode(F.element_at(cut, 1)).alias("p"))
     return parts.select(
-        "window_id",
-        (F.col("lo") + F.col("first") - F.col("window_id") * per).alias("position"),
+        F.col("p.window_id").alias("window_id"),
+        (F.col("p.lo") + F.col("first") - F.col("p.window_id") * per).alias("position"),
         "doc_id",
-        F.col("lo").alias("doc_start"),
-        (F.col("hi") - F.col("lo") + 1).alias("n_tokens"),
-        (F.col("lo") == 0).alias("starts_doc"),
-        (F.col("hi") == F.col("n") - 1).alias("ends_doc"),
-        F.array_join(F.slice("w", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + 1).cast("int")), " ").alias("text"),
+        F.col("p.lo").alias("doc_start"),
+        (F.col("p.hi") - F.col("p.lo") + 1).alias("n_tokens"),
+        (F.col("p.lo") == 0).alias("starts_doc"),
+        (F.col("p.hi") == F.col("n") - 1).alias("ends_doc"),
+        F.col("p.text").alias("text"),
     )
 
 
