@@ -75,6 +75,21 @@ def test_packing(ready, length):
     assert all(sum(x.n_tokens for x in got if x.window_id == w) == length for w in range(max(x.window_id for x in got)))
 
 
+def test_packing_of_null_ids_and_long_texts(ready):
+    import time
+
+    rows = [(None, "a b"), (None, "a b"), (None, "c"), (3, None)]
+    got = sorted((x.window_id, x.position, x.doc_start, x.n_tokens, x.text) for x in packing.pack(docs_of(ready, rows), 2).collect())
+    assert got == sorted((w, p, *x) for w, p, _, *x in by_hand(rows, 2, packing.SEED))
+    took = []
+    for n in (100_000, 400_000):
+        d = docs_of(ready, [(1, "word " * n)])
+        began = time.time()
+        assert packing.pack(d).agg(F.sum("n_tokens")).head()[0] == n + 1
+        took.append(time.time() - began)
+    assert took[1] < 6 * took[0] + 2  # four times the words; no text is carried into each of its windows
+
+
 # ---- mixing ----------------------------------------------------------------------------------------------------------------
 
 
@@ -115,6 +130,34 @@ def test_mixing_draws_what_was_routed(ready):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(d.repartition(7), targets, 3000).collect()))
 
 
+@pytest.mark.parametrize("most", [5, 40])
+def test_mixing_cuts_in_narrow_ranges(ready, monkeypatch, most):
+    r = random.Random(3)
+    d = docs_of(ready, [(k, prose(r, r.randint(1, 9))) for k in range(500)] + [(7, "same words"), (7, "same words"), (None, "no id"), (8, "")])
+    targets = {"source=s0": 5.0, "source=s1": 2.0, "source=s2": 1.0}
+    want = sorted(map(repr, mixing.mix(d, targets, 2500).collect()))
+    monkeypatch.setattr(mixing, "RANGE", most)
+    assert sorted(map(repr, mixing.mix(d, targets, 2500).collect())) == want
+    # brute force: documents in their order, as many as fit the pattern's remaining tokens
+    import hashlib
+
+    rows, flow = {}, {}
+    for x in d.collect():
+        if x.text:
+            rows.setdefault(("lang=en", f"source={x.source}"), []).append((hashlib.md5(f"{mixing.SEED}:{'null' if x.doc_id is None else x.doc_id}".encode()).hexdigest(), x.doc_id, len(x.text.split())))
+    flow = mixing.route({p: sum(n for *_, n in v) for p, v in rows.items()}, targets, 2500)
+    copies = {}
+    for p, v in rows.items():
+        whole, rest = divmod(flow[p], sum(n for *_, n in v))
+        for _, i, n in sorted(v, key=lambda y: y[0]):
+            rest -= n
+            copies[i] = copies.get(i, 0) + whole + (rest >= 0)
+    got = {}
+    for x in mixing.mix(d, targets, 2500).collect():
+        got[x.doc_id] = got.get(x.doc_id, 0) + x.copies
+    assert got == {i: n for i, n in copies.items() if n}
+
+
 def test_registered_mixture_binds(ready, tmp_path):
     import corpus_pipeline
     from folio_spark.llm import queries
