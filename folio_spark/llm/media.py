@@ -5,7 +5,10 @@ text, media_type, url, digest, caption. A reference's digest is the SHA-256 of i
 URI). References of all pages are joined with a payload table on the digest; payloads go back to their positions. A
 caption is the text of the figcaption of the figure that holds the reference, else its alt or title.
 
-Cases: a null or empty page has an empty sequence; unclosed tags end with their block; script, style and comments hold no
+Each page is parsed in time linear in its length.
+
+Cases: a null or empty page has an empty sequence; unclosed elements end with their block; a tag that never ends is text;
+once a tag's quotes never close, quotes no longer hide the end of a tag on that page; script, style and comments hold no
 text; a null page URL leaves relative references as they stand; a reference without payload keeps a null payload; of
 several payloads of one digest the least payload id counts; null digests match nothing; repeated rows come as often as
 they were; an empty table gives no row; other columns are ignored, whatever their names.
@@ -31,12 +34,14 @@ MEDIA = {"img": ("src", "data-src"), "video": ("src",), "audio": ("src",), "sour
 KINDS = {"img": "image", "video": "video", "audio": "audio", "source": "source", "embed": "embed", "object": "object", "iframe": "frame", "a": "link"}
 BLOCKS = frozenset("address article aside blockquote body br caption dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
 RAW = re.compile(r"</(script|style|noscript|template)\s*>", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9-]*)|[^<]+|<", re.S)
+#: The rest of a tag, with '>' in quotes or not.
+REST, BARE = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"), re.compile(r"([^>]*+)>")
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACES = re.compile(r"\s+")
 #: Elements whose further attributes hold references of their own.
 SRCSET, POSTER = ("img", "source"), ("video",)
-CANDIDATE = re.compile(r"[\s,]*([^\s,](?:\S*[^\s,])?)(,+|(?:[^,(]|\([^)]*\)?)*)")
+GAP, ADDRESS, DESCRIPTOR = re.compile(r"[\s,]*+"), re.compile(r"\S++"), re.compile(r"(?:[^,(]++|\([^)]*+\)?+)*+")
 
 #: Found references up to which they are broadcast; beyond that the pages are shuffled to them.
 BROADCAST_REFS = 200_000
@@ -58,7 +63,13 @@ def reference_digest(url: str) -> str:
 
 def srcset_urls(value: str) -> list[str]:
     """The candidates' URLs, without descriptors; commas within a URL, as in data URIs, stay."""
-    return [m[1] for m in CANDIDATE.finditer(value)]
+    out, at = [], 0
+    while (at := GAP.match(value, at).end()) < len(value):
+        m = ADDRESS.match(value, at)
+        url = m[0].rstrip(",")
+        at = m.end() if url != m[0] else DESCRIPTOR.match(value, m.end()).end()
+        out.append(url)
+    return out
 
 
 def parse(page: str | None, base: str | None) -> list[dict]:
@@ -76,17 +87,28 @@ def parse(page: str | None, base: str | None) -> list[dict]:
 
     def close_caption():
         nonlocal caption
-        if caption is not None and figures:
+        if caption is not None and figures and not isinstance(figures[-1], _Captioned):  # a figure's first caption counts
             text = SPACES.sub(" ", H.unescape("".join(caption))).strip()
             for x in figures[-1]:
                 x["caption"] = text or x["caption"]
             figures[-1] = _Captioned(figures[-1], text)
         caption = None
 
-    page, at = page or "", 0
+    page, at, rest = page or "", 0, REST
     while m := TOKEN.match(page, at):
         at = m.end()
         name = m[2]
+        if name is not None:
+            tail = rest.match(page, at)
+            if tail is None and rest is REST:  # quotes that never close: from here on they don't hide the end of a tag
+                rest = BARE
+                tail = rest.match(page, at)
+            if tail is None:
+                buffer.append(page[m.start() :])  # no tag ends after this
+                if caption is not None:
+                    caption.append(page[m.start() :])
+                break
+            at = tail.end()
         if name is None:
             t = m[0]
             if t[0] != "<" or t == "<":
@@ -118,7 +140,7 @@ def parse(page: str | None, base: str | None) -> list[dict]:
                 caption = []
             continue
         if name in MEDIA:
-            attrs = {a[0].lower(): H.unescape(a[1] or a[2] or a[3]) for a in ATTR.findall(m[3])}
+            attrs = {a[0].lower(): H.unescape(a[1] or a[2] or a[3]) for a in ATTR.findall(tail[1])}
             url = next((attrs[k].strip() for k in MEDIA[name] if attrs.get(k, "").strip()), None)
             found = [(KINDS[name], url)] if url is not None else []
             if name in SRCSET:

@@ -237,6 +237,67 @@ def test_media_srcset_and_poster():
     assert media.srcset_urls(" , x.png, y.png 1.5x ,, z,1.png 3x") == ["x.png", "y.png", "z,1.png"] and media.srcset_urls("") == []
 
 
+def test_media_parse_is_linear():
+    import time
+
+    for piece in ("<a ", '<a "x>" ', '<a "', "<a '\">", "<!-- ", "<figure><img src=a><figcaption>b</figcaption>", "<img srcset=',,,,,'>", "<script>", "<" * 5, "&amp;<b"):
+        page = piece * (1_000_000 // len(piece))
+        began = time.time()
+        media.parse(page, "http://h/")
+        assert time.time() - began < 8, piece
+    assert media.srcset_urls("," * 200_000) == []
+    items = media.parse('<p>a</p><img alt="open src=x.png><p>b</p><img src=y.png>', None)
+    assert [x["text"] or x["url"] for x in items] == ["a", "x.png", "b", "y.png"]
+    assert media.parse("x <b and no end", None)[0]["text"] == "x <b and no end"
+
+
+class Slow(__import__("html.parser", fromlist=["HTMLParser"]).HTMLParser):
+    """The items of well-formed pages by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.items, self.text, self.raw = [], "", 0
+
+    def end(self):
+        t = re.sub(r"\s+", " ", self.text).strip()
+        self.text = ""
+        if t:
+            self.items.append(("text", t))
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag in media.BLOCKS:
+            self.end()
+        url = next((a[k].strip() for k in media.MEDIA.get(tag, ()) if (a.get(k) or "").strip()), None)
+        if url:
+            self.end()
+            self.items.append(("media", url))
+        self.raw += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        if tag in media.BLOCKS:
+            self.end()
+        self.raw -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.text += data
+
+
+def test_media_against_another_parser():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
+    r = random.Random(2)
+    made = ["".join(r.choice(["<p>", "</p>", "<b>", "</b>", "some words ", "<img src='i%d.png' alt=\"a > b\">" % k, "<div class=x>", "</div>", "<a href=u%d>" % k, "</a>", "<script>if (a<b) x='<img src=no>';</script>", "<!-- <img src=no> -->", "&lt;i&gt;", "<br/>"]) for k in range(60)) for _ in range(200)]
+    for html in [x["html"] for x in pages if x["html"]] + made:
+        p = Slow()
+        p.feed(html)
+        p.close()
+        p.end()
+        assert [(x["kind"], x["text"] or x["url"]) for x in media.parse(html, None)] == p.items
+
+
 @pytest.mark.parametrize("limit", [0, 1000])
 def test_media_payloads(ready, monkeypatch, limit):
     monkeypatch.setattr(media, "BROADCAST_REFS", limit)
