@@ -1,21 +1,29 @@
 """ZIP-packaged web archives: read central directories (ZIP64 too), locate stored members and indexes, range-read records.
 
 An archive is a ZIP file whose members lie stored (method 0): archive/*.warc.gz, a series of gzip members of one WARC
-record each, and indexes/*.cdxj, lines of `key timestamp {json}` with offset and length of a record in its member.
-Nothing is extracted: the end of the file gives the directory, the directory the members' positions, the index the
-records' ranges, and each task reads the ranges of one stretch of one archive. Members without an index are walked.
+record each, archive/*.warc, the records as they are, and indexes/*.cdx, *.cdxj or either with .gz, lines of `key
+timestamp {json}` with offset and length (numbers or strings) of a record in its member; an index may be deflated in the
+ZIP. Nothing is extracted: the end of the file gives the directory, the directory the members' positions, the index the
+records' ranges. Ranges that follow each other are read at once, up to SPAN bytes; each task reads the ranges of one stretch
+of one archive. Members without an index are walked. A response's HTTP header is taken off, its chunks joined and its
+content decoded (gzip, deflate); the charset is that of Content-Type, else UTF-8.
 
 Cases: a null page id, url or body comes back null; an empty body comes back empty; repeated rows are separate records;
-a compressed member, or a record that is cut short or damaged, gives a row whose error says so and no body; a file that is no ZIP file, too; no
-archive or an empty table gives no row; other columns are ignored, whatever their names.
+records of other types than response and resource give no row; bytes that the charset can't decode become U+FFFD, an
+unknown charset is read as UTF-8; a record without a digest or with an unknown one isn't checked; a compressed archive
+member, an index line or a record that is cut short or damaged gives a row whose error says so and no body, and the others
+of the archive are read all the same; a file that is no ZIP file, too; no archive or an empty table gives no row; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import zipfile
 import zlib
@@ -26,9 +34,15 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio_spark.session import written
+
 #: Bytes of packed records after which a task starts another archive; stretch of an archive that one task reads.
 ROLL, STRETCH = 32_000_000, 8_000_000
+#: Bytes that are read at once, if ranges follow each other.
+SPAN = 1_000_000
 DATE = "20250101000000"
+BLANK, CHARSET = re.compile(rb"\r?\n\r?\n"), re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+WARCS, INDEXES = (".warc.gz", ".warc"), (".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -109,25 +123,111 @@ def record(page_id, url, html) -> bytes:
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 4, mtime=0)
 
 
-def parse_record(packed: bytes) -> tuple:
-    """(page_id, url, html, sha256, error) of one packed record."""
+def _digest_differs(stated: str | None, body: bytes) -> bool:
+    """Whether a stated digest (sha1 or sha256 or md5, in base 32 or 16) is another than the body's."""
+    name, _, value = (stated or "").partition(":")
+    if name.lower().replace("-", "") not in ("sha1", "sha256", "md5"):
+        return False
+    d = hashlib.new(name.lower().replace("-", ""), body).digest()
+    return value.strip().upper().rstrip("=") not in (d.hex().upper(), base64.b32encode(d).decode().rstrip("="))
+
+
+def _headers(top: bytes) -> dict[str, str]:
+    """Header fields by lower-case name, without the first line; folded lines are joined."""
+    out: dict[str, str] = {}
+    last = None
+    for line in top.decode("utf-8", "replace").splitlines()[1:]:
+        if line[:1] in " \t" and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            last, _, value = line.partition(":")
+            last = last.strip().lower()
+            out[last] = value.strip()
+    return out
+
+
+def _split(raw: bytes) -> tuple[bytes, bytes]:
+    """Header and what follows its blank line."""
+    m = BLANK.search(raw)
+    return (raw[: m.start()], raw[m.end() :]) if m else (raw, b"")
+
+
+def _dechunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while at < len(body):
+        end = body.find(b"\r\n", at)
+        try:
+            n = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            return body  # no chunks
+        if n < 0:
+            return body
+        if not n:
+            break
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return b"".join(out)
+
+
+def _content(block: bytes, head: dict[str, str]) -> tuple[bytes, str]:
+    """(payload, content type) of a record's block: a response's HTTP header is taken off and its encodings undone."""
+    if "application/http" not in head.get("content-type", "") and head.get("warc-type") != "response":
+        return block, head.get("content-type", "")
+    top, body = _split(block)
+    http = _headers(top)
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        body = _dechunked(body)
+    code = http.get("content-encoding", "").lower()
+    if code in ("gzip", "x-gzip"):
+        body = zlib.decompressobj(47).decompress(body)
+    elif code == "deflate":
+        try:
+            body = zlib.decompress(body)
+        except zlib.error:
+            body = zlib.decompress(body, -15)
+    return body, http.get("content-type", "")
+
+
+def _text(body: bytes, kind: str) -> str:
+    m = CHARSET.search(kind)
     try:
-        d = zlib.decompressobj(31)
-        raw = d.decompress(packed) + d.flush()
-        if not d.eof:
-            raise ValueError("cut short")
-        top, _, rest = raw.partition(b"\r\n\r\n")
-        head = dict(line.split(": ", 1) for line in top.decode().split("\r\n")[1:])
-        body = rest[: int(head["Content-Length"])]
-        if len(body) < int(head["Content-Length"]):
+        return body.decode(m[1] if m else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
+def parse_record(packed: bytes) -> tuple | None:
+    """(page_id, url, html, sha256, error) of one record, packed or plain; None if it holds no page."""
+    try:
+        raw = packed
+        if packed[:2] == b"\x1f\x8b":
+            d = zlib.decompressobj(31)
+            raw = d.decompress(packed) + d.flush()
+            if not d.eof:
+                raise ValueError("cut short")
+        top, rest = _split(raw)
+        if not top.startswith(b"WARC/"):
+            raise ValueError("no WARC record")
+        head = _headers(top)
+        if head.get("warc-type") not in ("response", "resource"):
+            return None
+        n = int(head["content-length"])
+        block = rest[:n]
+        if len(block) < n:
             raise ValueError("cut short")
-        sha = hashlib.sha256(body).hexdigest()
-        if head["WARC-Payload-Digest"] != f"sha256:{sha}":
+        # a payload digest is one of the body as it was sent, a block digest one of the whole block
+        sent = _split(block)[1] if head["warc-type"] == "response" else block
+        if _digest_differs(head.get("warc-block-digest"), block) or _digest_differs(head.get("warc-payload-digest"), sent) and _digest_differs(head.get("warc-payload-digest"), _content(block, head)[0]):
             raise ValueError("digest differs")
-        page, url = head.get("X-Page-Id"), head.get("WARC-Target-URI")
-        null = "X-Body-Null" in head
-        return (None if page is None else int(page), None if url is None else json.loads(url), None if null else body.decode(), None if null else sha, None)
-    except (ValueError, KeyError, zlib.error, UnicodeDecodeError) as e:
+        body, kind = _content(block, head)
+        page, url = head.get("x-page-id"), head.get("warc-target-uri")
+        if url is not None and url[:1] == '"':
+            url = json.loads(url)
+        elif url is not None:
+            url = url.removeprefix("<").removesuffix(">")
+        null = "x-body-null" in head
+        return (None if page is None else int(page), url, None if null else _text(body, kind), None if null else hashlib.sha256(body).hexdigest(), None)
+    except (ValueError, KeyError, zlib.error) as e:
         return (None, None, None, None, f"damaged record: {e}")
 
 
@@ -188,39 +288,74 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "path string")
 
 
+def _index(f: RangeFile, m: dict) -> Iterator[bytes]:
+    """The lines of an index member, plain or packed."""
+    raw = f.at(m["offset"], m["size"])
+    if m["method"] == 8:
+        raw = zlib.decompress(raw, -15)
+    at = raw
+    if m["name"].endswith(".gz"):
+        parts = []
+        while at[:2] == b"\x1f\x8b":  # a series of gzip members
+            d = zlib.decompressobj(31)
+            parts.append(d.decompress(at) + d.flush())
+            at = d.unused_data
+        raw = b"".join(parts)
+    return (x for x in raw.splitlines() if x.strip())
+
+
 def _directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(path, member, at, length, error): the range of each record of each archive."""
+    names, types = ["path", "member", "at", "length", "error"], (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
     for b in batches:
         for path in b.column(0).to_pylist():
             rows: list[tuple] = []
             try:
                 f = RangeFile(path)
                 found = members(f)
-                data = {m["name"].rpartition("/")[2]: m for m in found if m["name"].startswith("archive/") and m["name"].endswith(".warc.gz")}
-                rows += [(path, m["name"], None, None, "member isn't stored") for m in data.values() if m["method"]]
-                indexed = set()
-                for m in found:
-                    if m["name"].startswith("indexes/") and m["name"].endswith(".cdxj") and not m["method"]:
-                        for line in f.at(m["offset"], m["size"]).decode().splitlines():
-                            x = json.loads(line[line.rindex("{") :])
-                            own = data.get(x["filename"].rpartition("/")[2])
-                            if own and not own["method"]:
-                                indexed.add(own["name"])
-                                rows.append((path, own["name"], own["offset"] + x["offset"], x["length"], None))
-                for m in data.values():
-                    if not m["method"] and m["name"] not in indexed:
-                        rows += [(path, m["name"], m["offset"] + a, n, None) for a, n in walk(f, m)]
             except (OSError, ValueError, KeyError, struct.error) as e:
+                found = []
                 rows = [(path, None, None, None, f"unreadable archive: {e}")]
+            data = {m["name"].rpartition("/")[2]: m for m in found if m["name"].startswith("archive/") and m["name"].endswith(WARCS)}
+            rows += [(path, m["name"], None, None, "member isn't stored") for m in data.values() if m["method"]]
+            indexed = set()
+            for m in found:
+                if not (m["name"].startswith("indexes/") and m["name"].endswith(INDEXES)):
+                    continue
+                try:
+                    if m["method"] not in (0, 8):
+                        raise ValueError("unknown method")
+                    for line in _index(f, m):
+                        try:
+                            if b"{" not in line:
+                                continue  # a heading
+                            x = json.loads(line[line.index(b"{") :])
+                            own = data.get(str(x.get("filename", "")).rpartition("/")[2]) if x.get("filename") or len(data) != 1 else next(iter(data.values()))
+                            if own and not own["method"]:
+                                rows.append((path, own["name"], own["offset"] + int(x["offset"]), int(x["length"]), None))
+                                indexed.add(own["name"])
+                        except (ValueError, KeyError, TypeError, AttributeError) as e:
+                            rows.append((path, m["name"], None, None, f"damaged index line: {e!r}"))
+                except (OSError, ValueError, zlib.error) as e:
+                    rows.append((path, m["name"], None, None, f"damaged index: {e}"))
+            for m in data.values():
+                if not m["method"] and m["name"] not in indexed:
+                    try:
+                        for at, n in (walk if m["name"].endswith(".gz") else walk_plain)(f, m):
+                            rows.append((path, m["name"], m["offset"] + at, n, None))
+                    except (OSError, ValueError, zlib.error) as e:
+                        rows.append((path, m["name"], None, None, f"damaged member: {e}"))
             for i in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 50_000]), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))], ["path", "member", "at", "length", "error"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 50_000]), types)], names)
 
 
 def walk(f: RangeFile, m: dict) -> Iterator[tuple[int, int]]:
     """(offset, length) of each gzip member of a stored member that has no index; read in pieces."""
     at, start, d = 0, 0, zlib.decompressobj(31)
     while at < m["size"]:
-        piece = f.at(m["offset"] + at, min(1_000_000, m["size"] - at))
+        piece = f.at(m["offset"] + at, min(SPAN, m["size"] - at))
+        if not piece:
+            break
         at += len(piece)
         while piece:
             d.decompress(piece)
@@ -229,30 +364,55 @@ def walk(f: RangeFile, m: dict) -> Iterator[tuple[int, int]]:
             piece = d.unused_data
             yield start, at - len(piece) - start
             start, d = at - len(piece), zlib.decompressobj(31)
-        if not piece and not at:
-            break
     if start < m["size"]:
         yield start, m["size"] - start
 
 
+def walk_plain(f: RangeFile, m: dict) -> Iterator[tuple[int, int]]:
+    """(offset, length) of each record of a member of plain records: each header tells the record's length."""
+    at = 0
+    while at < m["size"]:
+        top = f.at(m["offset"] + at, min(65_536, m["size"] - at))
+        lead = len(top) - len(top.lstrip(b"\r\n"))
+        if lead == len(top):
+            return
+        top, at = top[lead:], at + lead
+        end = BLANK.search(top)
+        if not top.startswith(b"WARC/") or not end:
+            raise ValueError(f"no record at {at}")
+        n = end.end() + int(_headers(top[: end.start()]).get("content-length", "x"))
+        yield at, min(n, m["size"] - at)
+        at += n
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string())
     names = ["page_id", "url", "html", "sha256", "archive", "error"]
     path, f, out, size = None, None, [], 0
+    piece, piece_at = b"", 0
 
     def rows():
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     for b in batches:
-        for p, at, length, error in zip(*(b.column(i).to_pylist() for i in range(4))):
+        cols = [b.column(i).to_pylist() for i in range(4)]
+        for k, (p, at, length, error) in enumerate(zip(*cols)):
+            row = (None, None, None, None, error)
             if error is None:
-                if p != path:
-                    path, f = p, RangeFile(p)
-                row = (*parse_record(f.at(at, length)), )
+                try:
+                    if p != path:
+                        path, f, piece = p, RangeFile(p), b""
+                    if not piece_at <= at or at + length > piece_at + len(piece):
+                        end, z = at + length, k + 1  # with the ranges that follow at once
+                        while z < b.num_rows and cols[0][z] == p and cols[1][z] == end and end + cols[2][z] - at <= SPAN:
+                            end, z = end + cols[2][z], z + 1
+                        piece, piece_at = f.at(at, end - at), at
+                    row = parse_record(piece[at - piece_at : at - piece_at + length])
+                except OSError as e:
+                    row = (None, None, None, None, f"unreadable range: {e}")
+            if row is not None:
                 out.append((*row[:4], p.rpartition("/")[2], row[4]))
                 size += len(row[2] or "")
-            else:
-                out.append((None, None, None, None, p.rpartition("/")[2], error))
             if size > 8_000_000 or len(out) >= 5000:
                 yield rows()
                 out, size = [], 0
@@ -261,10 +421,13 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(paths: DataFrame) -> DataFrame:
-    """page_id, url, html, sha256, archive (file name), error, of every record of the archives in column path."""
-    ranges = paths.select("path").mapInArrow(_directory, "path string, member string, at long, length long, error string")
+    """page_id, url, html, sha256, archive (file name), error, of every page record of the archives in column path."""
+    spark = paths.sparkSession
+    ranges = written(paths.select("path").mapInArrow(_directory, "path string, member string, at long, length long, error string"), "ranges")
+    whole = ranges.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-whole // STRETCH))  # ranges are few bytes: what is behind them counts
     stretch = F.floor(F.coalesce(F.col("at"), F.lit(0)) / F.lit(STRETCH))
-    ranges = ranges.repartition(F.col("path"), stretch).sortWithinPartitions("path", "at")
+    ranges = ranges.repartition(int(tasks), F.col("path"), stretch).sortWithinPartitions("path", "at")
     return ranges.select("path", "at", "length", "error").mapInArrow(_records, "page_id long, url string, html string, sha256 string, archive string, error string")
 
 

@@ -201,6 +201,67 @@ def test_archive_faults(ready, tmp_path):
     assert sorted(x.page_id for x in archive.read_folder(ready, str(tmp_path)).where("error is null").collect()) == [7, 8]
 
 
+def warc(kind="response", body=b"<p>x</p>", http=b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n", extra=b"", uri=b"http://h/"):
+    block = http + b"\r\n" + body if kind == "response" else body
+    return b"WARC/1.0\r\nWARC-Type: " + kind.encode() + b"\r\nWARC-Target-URI: " + uri + b"\r\n" + extra + b"Content-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(ready, tmp_path):
+    import base64
+    import gzip
+    import hashlib
+    import json
+
+    sha = lambda b: b"sha1:" + base64.b32encode(hashlib.sha1(b).digest())
+    body, latin = b"<p>response</p>", "<p>größe</p>".encode("latin-1")
+    packed = gzip.compress(body)
+    records = [
+        warc("warcinfo", b"software: x"), warc(body=body, extra=b"WARC-Payload-Digest: " + sha(body) + b"\r\n"), warc(body=latin, http=b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n"),
+        warc(body=b"4\r\n<p>a\r\n5\r\nb</p>\r\n0\r\n\r\n", http=b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n"), warc(body=packed, http=b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n"), warc("request", b"GET / HTTP/1.1\r\n\r\n"), warc(body=b"wrong", extra=b"WARC-Payload-Digest: " + sha(b"other") + b"\r\n"),
+    ]
+    texts = ["<p>response</p>", "<p>größe</p>", "<p>ab</p>", "<p>response</p>"]
+    parts = [gzip.compress(x) for x in records]
+    ends = np.cumsum([0, *map(len, parts)]).tolist()
+    line = lambda k, **more: f"com,h)/ 2025 {json.dumps({'offset': str(ends[k]), 'length': str(len(parts[k])), 'filename': 'd.warc.gz'} | more)}\n"
+    lines = "".join(line(k) for k in range(len(parts)))
+
+    def make(name, members, how=zipfile.ZIP_STORED):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for n, b, *m in members:
+                z.writestr(n, b, m[0] if m else how)
+
+    data = ("archive/d.warc.gz", b"".join(parts))
+    make("strings.wacz", [data, ("indexes/index.cdxj", lines)])
+    make("gz.wacz", [data, ("indexes/index.cdx.gz", gzip.compress(b"!meta {}\n" * 0 + lines[: len(lines) // 2].encode()) + gzip.compress(lines[len(lines) // 2 :].encode()))])
+    make("deflated.wacz", [data, ("indexes/index.cdxj", lines, zipfile.ZIP_DEFLATED)])
+    make("lines.wacz", [data, ("indexes/index.cdxj", "broken {\n" + line(0, offset="x") + lines)])
+    make("plain.wacz", [("archive/d.warc", b"".join(records))])
+    make("noindex.wacz", [data])
+    bad = b"".join(parts[:2]) + parts[2][:20] + b"\xff" * 30 + parts[2][50:]
+    make("damaged.wacz", [("archive/d.warc.gz", bad)])
+    make("damagedindexed.wacz", [("archive/d.warc.gz", b"".join(parts[:2]) + b"\xff" * len(parts[2]) + b"".join(parts[3:])), ("indexes/i.cdxj", lines)])
+    rows = archive.read_folder(ready, str(tmp_path)).collect()
+    by = {}
+    for x in rows:
+        by.setdefault(x.archive, ([], []))[x.error is not None].append(x.error or x.html)
+    for name in ("strings.wacz", "gz.wacz", "deflated.wacz", "plain.wacz", "noindex.wacz"):
+        assert sorted(by[name][0]) == sorted(texts) and [e.startswith("damaged record: digest") for e in by[name][1]] == [True], name
+    assert sorted(by["lines.wacz"][0]) == sorted(texts) and len(by["lines.wacz"][1]) == 3
+    assert by["damaged.wacz"][0] == texts[:1] and by["damaged.wacz"][1]
+    assert sorted(by["damagedindexed.wacz"][0]) == sorted([texts[0], *texts[2:]]) and len(by["damagedindexed.wacz"][1]) == 2
+    assert {x.url for x in rows if x.html} == {"http://h/"}
+
+
+def test_archive_is_read_by_several_tasks(ready, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "STRETCH", 20_000)
+    r = random.Random(4)
+    rows = [(k, f"http://a/{k}", "".join(r.choice("abcdefghij ") for _ in range(3000))) for k in range(100)]
+    archive.write_archives(ready.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/z").write.parquet(str(tmp_path / "paths"))
+    got = archive.read_folder(ready, f"file://{tmp_path}/z")
+    assert got.select(F.spark_partition_id()).distinct().count() > 3
+    assert sorted((x.page_id, x.url, x.html) for x in got.collect()) == rows
+
+
 def test_zip64_directory(tmp_path):
     name, body = b"archive/data.warc.gz", b"payload"
     local = b"PK\x03\x04" + struct.pack("<HHHHHIIIHH", 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(name), 20) + name + struct.pack("<HHQQ", 1, 16, len(body), len(body)) + body
