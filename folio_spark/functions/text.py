@@ -91,7 +91,8 @@ def header_line(c: Column) -> Column:
     return F.lower(F.array_join(F.filter(tokens, lambda t: t != ""), " "))
 
 
-TABLE_HEADERS = ("pin name pin no function", "pin no pin name function", "no name function", "pin number pin name function")
+#: Header lines of the two electrical tables that route a page by themselves.
+TABLE_HEADERS = tuple(f"parameter {x} min typ max unit" for x in ("test condition", "symbol conditions"))
 
 
 def table_header(c: Column) -> Column:

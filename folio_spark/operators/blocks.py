@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from folio_spark.functions import text as T
-from folio_spark.operators.tables import is_table
+from folio_spark.operators.tables import caption_at, is_table
 
 _LIST = re.compile(r"^(?:[-*+•·–](?:\s+|$)|\d+\.\s+)")
 _MARK = re.compile(r"^(?:[-*+•·–]|\d+\.)$")
@@ -92,7 +92,11 @@ def split_blocks(text: str | None, run_table: bool = False) -> list[tuple[int, s
         else:
             merged.append(g)
     out = []
+    parts: list[list[str]] = []
     for g in merged:
+        k = caption_at(g) if run_table and len(g) >= 3 and not is_table(g, True) else None
+        parts += [g] if k is None else [*([g[:k]] if k else []), [g[k]], g[k + 1 :]]
+    for g in parts:
         body = "\n".join(g) if is_table([x.strip() for x in g], run_table) else reflow(g)
         out.append((len(out), kind_of(body, run_table), body))
     return out

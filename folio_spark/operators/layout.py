@@ -6,8 +6,12 @@ bands, vertical gaps with column splits, vertical gaps.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from folio_spark.operators.blocks import kind_of, list_items, reflow
 from folio_spark.operators.tables import grid_rows, positioned_rows
@@ -209,3 +213,25 @@ def span_blocks(spans: DataFrame, doc: str = "doc", page: str = "page_index", wi
 
     schema = f"{doc} {kinds[doc]}, {page} {kinds[page]}, " + BLOCKS.partition(", ")[2]
     return spans.select(*columns).groupBy(doc, page).applyInPandas(run, schema)
+
+
+def array_blocks(pages: DataFrame, doc: str = "doc", page: str = "page_index") -> DataFrame:
+    """doc, page_index and the blocks of each page that has spans, page by page and without a shuffle. pages: doc, page_index,
+    width, spans (array of text, x0, y0, x1, y1), rulings (array of orientation, position, start, end), run_table_recovery."""
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    names = ["block_index", "kind", "text", "x0", "y0", "x1", "y1", "layout_strategy", "rows"]
+    types = [pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 4, pa.string(), pa.list_(pa.list_(pa.string()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, (width, spans, rulings, recover) in enumerate(zip(*(b.column(i).to_pylist() for i in range(2, 6)))):
+                own = [(s["text"] or "", s["x0"], s["y0"], s["x1"], s["y1"]) for s in spans]
+                lines = [(r["orientation"], r["position"], r["start"], r["end"]) for r in rulings or []]
+                out += [(k, *(x[n] for n in names)) for x in page_blocks(own, width or 612.0, bool(recover), lines)]
+            cols = list(zip(*out)) or [()] * 10
+            at = pa.array(cols[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(c, t) for c, t in zip(cols[1:], types))], [doc, page, *names])
+
+    rows = pages.where(F.size("spans") > 0).select(doc, page, "width", "spans", "rulings", "run_table_recovery")
+    return rows.mapInArrow(run, f"{doc} {kinds[doc]}, {page} {kinds[page]}, " + BLOCKS.partition(", ")[2])

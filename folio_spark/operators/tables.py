@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio_spark.functions import text as T
+from folio_spark.operators import datasheets as D
 
 _RULE = re.compile(r"^:?-{3,}:?$")
 
@@ -76,12 +79,6 @@ def aligned_rows(lines: list[str]) -> list[list[str]] | None:
     return rows if len(rows) >= 2 and sum(sum(map(bool, r)) >= 2 for r in rows[1:]) >= 1 else None
 
 
-def leader_rows(lines: list[str]) -> list[list[str]] | None:
-    """`label ..... value` and `label ----- value` lines: leaders of three marks or more."""
-    found = [re.match(r"^\s*(?:[•*·-]\s+)?(.*?\S)\s*(?:\.{3,}|[-–—]{3,}|(?:\. ){3,})\s*(\S.*)$", x) for x in lines]
-    return [["Parameter", "Value"]] + [[m[1], m[2].strip()] for m in found] if len(found) >= 2 and all(found) else None
-
-
 def ordering_rows(lines: list[str]) -> list[list[str]] | None:
     """Part-number ordering lines: part, voltage, identification code, under their header."""
     found = [re.match(r"^\s*([A-Z0-9][A-Z0-9/-]{5,})\s+(\d+(?:\.\d+)?\s?V)\s+(\S{2,8})\s*$", x) for x in lines]
@@ -89,7 +86,40 @@ def ordering_rows(lines: list[str]) -> list[list[str]] | None:
 
 
 #: Recognisers of tables in text, in the order they are tried; the flag tells those that need a page routed to table recovery.
-RECOGNISERS = [("delimited", lambda x: (r := delimited_rows(x)) and [c for _, c in r], False), ("key_value", key_value_rows, True), ("leader", leader_rows, True), ("ordering", ordering_rows, True), ("aligned", aligned_rows, True), ("uniform", uniform_rows, True)]
+RECOGNISERS = [
+    ("delimited", lambda x: (r := delimited_rows(x)) and [c for _, c in r], False), *((name, f, True) for name, f in D.FAMILIES), ("ordering", ordering_rows, True), ("budget", D.budget_rows, True),
+    ("aligned", aligned_rows, True), ("guided", D.guided_rows, True), ("key_value", key_value_rows, True), ("uniform", uniform_rows, True),
+]
+
+
+def caption_at(lines: list[str]) -> int | None:
+    """The line of a caption that a delimited, aligned or header-guided table follows, if the lines before it are no part of a table."""
+    for k in range(len(lines) - 2):
+        rest, before = lines[k + 1 :], lines[:k]
+        if D.caption(lines[k]) and not any("|" in x or "\t" in x or D.wide_gap(x) for x in before) and not (len(before) > 1 and uniform_rows(before)) and (delimited_rows(rest) or aligned_rows(rest) or D.guided_rows(rest)):
+            return k
+    return None
+
+
+def recovered_tables(blocks: DataFrame, keys: list[str], text: str = "text", run_table: bool = True) -> DataFrame:
+    """keys, pattern, row_index, cells of the tables that the text blocks hold; other blocks give no row."""
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, t in enumerate(b.column(len(keys)).to_pylist()):
+                lines = [x for x in (t or "").split("\n") if x.strip()]
+                found = recover(lines, run_table)
+                at = None if found or not run_table else caption_at(lines)
+                if at is not None:
+                    found = recover(lines[at + 1 :], run_table)
+                out += [(k, found[0], i, r) for i, r in enumerate(found[1])] if found else []
+            cols = list(zip(*out)) or [()] * 4
+            at = pa.array(cols[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(keys))), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.string()))], [*keys, "pattern", "row_index", "cells"])
+
+    return blocks.select(*keys, text).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pattern string, row_index int, cells array<string>")
 
 
 def recover(lines: list[str], run_table: bool) -> tuple[str, list[list[str]]] | None:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from folio_spark.functions import classify as C
 from folio_spark.functions import text as T
 from folio_spark.operators import blocks as B
-from folio_spark.operators import corpus, identity, layout
+from folio_spark.operators import corpus, identity, layout, tables
 from folio_spark.operators.signals import with_text_signals
 from folio_spark.session import ship
 from folio_spark.sources import pages as P
@@ -67,21 +71,77 @@ def assemble(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     return d.join(corpus.document_diagnostics(pages).withColumnRenamed("pages", "page_count"), "doc")
 
 
-def parse_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(pages, blocks) of the PDF files below a folder; files that can't be read are rows with error_kind."""
+@F.pandas_udf(S.DoubleType())
+def covered(boxes: pd.Series) -> pd.Series:
+    """The area of the union of a page's boxes (x0, y0, x1, y1), by vertical strips."""
+
+    def union(own) -> float:
+        own = [(min(b["x0"], b["x1"]), min(b["y0"], b["y1"]), max(b["x0"], b["x1"]), max(b["y0"], b["y1"])) for b in own if b is not None]
+        own = [b for b in own if all(map(math.isfinite, b)) and b[2] > b[0] and b[3] > b[1]]
+        xs, total = sorted({x for b in own for x in (b[0], b[2])}), 0.0
+        for a, z in zip(xs, xs[1:]):
+            top = None
+            for y0, y1 in sorted((b[1], b[3]) for b in own if b[0] <= a and b[2] >= z):
+                start = y0 if top is None else max(y0, top)
+                total += max(0.0, y1 - start) * (z - a)
+                top = y1 if top is None else max(top, y1)
+        return total
+
+    return pd.Series([0.0 if x is None else union(x) for x in boxes])
+
+
+@F.pandas_udf(S.DoubleType())
+def overlap_area(spans: pd.Series) -> pd.Series:
+    """The pairwise intersections of a page's span boxes, summed; a sweep along x. Blank spans and empty boxes don't count."""
+
+    def shared(own) -> float:
+        own = sorted((s["x0"], s["y0"], s["x1"], s["y1"]) for s in own if s is not None and (s["text"] or "").strip() and s["x1"] > s["x0"] and s["y1"] > s["y0"])
+        total, open_ = 0.0, []
+        for b in own:
+            open_ = [c for c in open_ if c[2] > b[0]]
+            total += sum((min(b[2], c[2]) - b[0]) * max(0.0, min(b[3], c[3]) - max(b[1], c[1])) for c in open_)
+            open_.append(b)
+        return total
+
+    return pd.Series([0.0 if x is None else shared(x) for x in spans])
+
+
+def overlapping(spans: str = "spans") -> F.Column:
+    """Overlap of a page's span boxes over their summed areas, 1 at most."""
+    box = lambda s: F.when((T.trimmed(s["text"]) != "") & (s["x1"] > s["x0"]) & (s["y1"] > s["y0"]), (s["x1"] - s["x0"]) * (s["y1"] - s["y0"])).otherwise(F.lit(0.0))
+    area = F.aggregate(spans, F.lit(0.0), lambda a, s: a + box(s))
+    return F.coalesce(F.when(area > 0, F.least(F.lit(1.0), overlap_area(spans) / area)), F.lit(0.0))
+
+
+def image_ratio(images: str = "images") -> F.Column:
+    """The share of the page under images: their clipped union; 0.85 at least on a page with content and no native text."""
+    page = F.col("width") * F.col("height")
+    edge = lambda i, k, most: F.least(F.greatest(i[k], F.lit(0.0)), F.col(most)).alias(k)
+    boxes = F.transform(images, lambda i: F.struct(edge(i, "x0", "width"), edge(i, "y0", "height"), edge(i, "x1", "width"), edge(i, "y1", "height")))
+    part = F.when(page > 0, F.least(F.lit(1.0), covered(boxes) / page)).otherwise(F.lit(0.0))
+    drawn = (F.coalesce(F.size(images), F.lit(0)) > 0) | (F.coalesce(F.size("rulings"), F.lit(0)) > 0)
+    return F.greatest(part, F.when((T.trimmed(F.coalesce("text", F.lit(""))) == "") & drawn, F.lit(0.85)).otherwise(F.lit(0.0)))
+
+
+def parse_folder(spark: SparkSession, folder: str, ocr: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages, blocks) of the PDF files below a folder; files that can't be read are rows with error_kind. ocr: doc,
+    page_index, ocr_text, which stands for the native text of pages routed to OCR. Table blocks carry their rows."""
     ship(spark)
     pages = pdf.read_pages(pdf.pdf_files(spark, folder)).withColumnRenamed("native_text", "text")
-    area = F.least(F.lit(1.0), F.coalesce(F.aggregate("images", F.lit(0.0), lambda a, i: a + i["area_ratio"]), F.lit(0.0)))
     density = F.least(F.lit(1.0), F.coalesce(F.size("rulings"), F.lit(0)) / F.lit(20.0))
-    good = pages.where("error_kind is null").withColumns({"image_area_ratio": area, "ruling_density": density})
+    good = pages.where("error_kind is null").withColumns({"image_area_ratio": image_ratio(), "ruling_density": density, "bbox_overlap_ratio": overlapping()})
     routed = analyse(good)
     # a page whose rulings alone reach the density is a table page, too
     routed = C.with_quality(C.with_route(routed.withColumn("table_line_density", F.greatest("table_line_density", "ruling_density"))))
-    spans = routed.where(F.size("spans") > 0).select("doc", "page_index", "run_table_recovery", F.explode("spans").alias("s")).select("doc", "page_index", "run_table_recovery", "s.*")
-    positioned = layout.span_blocks(spans, table_column="run_table_recovery").drop("rows")
+    if ocr is not None:
+        routed = routed.join(ocr.select("doc", "page_index", "ocr_text"), ["doc", "page_index"], "left").withColumn("from_ocr", F.col("run_ocr") & (T.trimmed(F.coalesce("ocr_text", F.lit(""))) != ""))
+        routed = routed.withColumn("text", page_text()).withColumn("spans", F.when("from_ocr", F.filter("spans", lambda s: F.lit(False))).otherwise(F.col("spans"))).drop("from_ocr")
+    positioned = layout.array_blocks(routed)
     plain = page_blocks(routed.where((F.size("spans") == 0) & (F.col("text") != ""))).select("doc", "page_index", "block_index", "kind", "text", *[F.lit(None).cast("double").alias(k) for k in ("x0", "y0", "x1", "y1")], F.lit("page_text").alias("layout_strategy"))
-    both = positioned.unionByName(plain)
-    both = both.unionByName(figure_fallback(routed, both).withColumn("layout_strategy", F.lit("figure")))
+    cells = tables.recovered_tables(plain.where("kind = 'table'"), ["doc", "page_index", "block_index"])
+    cells = cells.groupBy("doc", "page_index", "block_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "cells"))), lambda x: x["cells"]).alias("rows"))
+    both = positioned.unionByName(plain.join(cells, ["doc", "page_index", "block_index"], "left"))
+    both = both.unionByName(figure_fallback(routed, both).withColumns({"layout_strategy": F.lit("figure"), "rows": F.lit(None).cast("array<array<string>>")}))
     both = relabel_margins(both, routed.select("doc", "page_index", "height"))
     return routed, both.withColumn("block_id", identity.block_id(F.col("page_index"), F.col("block_index")))
 
