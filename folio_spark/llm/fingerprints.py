@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio_spark.llm.regions import digest, forest, named_classes, named_pairs, pairs_of, regions_of
+from folio_spark.llm.regions import Regions, digest, forest, named_classes, named_pairs, pairs_of, regions_of
 from folio_spark.llm.text import gram_sets, mix, slices
 from folio_spark.session import written
 
@@ -32,6 +32,8 @@ from folio_spark.session import written
 N, THRESHOLD, BANDS, ROWS, SLACK, SEED = 3, 0.6, 32, 4, 0.2, 11
 #: Sets of a band that are compared with each other, at most; sets whose bands are met in a task at a time.
 HOT, STRETCH = 1024, 50_000
+#: Bytes of a shingle's hash when Jaccard is verified: two of m shingles of a pair are mistaken with probability m^2 / 2^32, by one shingle.
+VERIFY_BYTES = 4
 #: Shingles that are hashed at a time: what fits a processor's cache.
 CHUNK = 32_768
 
@@ -198,13 +200,13 @@ def _meet(t: float):
     return run
 
 
-def near_regions(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
+def near_regions(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, Regions]:
     """(classes: doc_id, id; regions of sets that may be similar). docs: doc_id, text."""
     signed = written(docs.mapInArrow(_signed(n), "doc_id long, id long, size int, bands binary, sketch binary"), "signatures")
     rows = signed.where("bands is not null").select("id", "size", "bands", "sketch").mapInArrow(_banded, "band long, id long, size int, sketch binary, other long")
     edges = rows.repartition("band").sortWithinPartitions("band").mapInArrow(_meet(t), "a long, b long").distinct()
     classes = signed.select("doc_id", "id")
-    return classes, regions_of(docs, classes, edges, n, t)
+    return classes, regions_of(docs, classes, edges, n, t, VERIFY_BYTES)
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """License scans: a paragraph classifier over sparse word n-grams, with a calibrated unknown class and template comparison.
 
-A paragraph is a line of text. Training paragraphs are built from license templates (whole, cut, with words dropped,
+A paragraph is a run of lines without a blank one, or, where that as a whole is no license, each of its lines: licenses are
+wrapped, and license lines stand within prose. Training paragraphs are built from license templates (whole, cut, with words dropped,
 changed and added) and, as class 'unknown', from made-up prose, from license-like sentences that license nothing, and from
 templates' words in random order. Features are the words and word pairs of the templates (counts over the paragraph's
 length); multinomial logistic regression is fitted by gradient descent, its temperature and the least probability of a
 license are calibrated on held-out paragraphs. Predictions are confirmed by comparing word pairs with the family's
-templates. Every paragraph of every text is scored; one without any word pair of a template has the score of no evidence,
-'unknown', so it is left out without loss.
+templates; a license that no template confirms is 'unknown'. Every paragraph of every text is scored; one without any word
+pair of a template has no evidence of a license and gives no row. A run of lines is judged as a whole if half of its word
+pairs stand in one template; lines of another family within it are reported, too.
 
-Cases: null and empty texts and blank lines have no paragraph; one very long line is one paragraph, taken whole; ties
+Cases: null and empty texts and blank lines have no paragraph; very long lines and runs are taken whole; ties
 between families go to the first by name; repeated rows are scanned one by one; an empty table gives no row; other columns
 are ignored, whatever their names.
 """
@@ -30,6 +32,8 @@ from folio_spark.llm.text import mix, slices, word_hashes
 
 #: Paragraphs made from each template; steps, rate and penalty of the fit; share of a paragraph's word pairs, or of a template's, that must agree.
 COPIES, STEPS, RATE, PENALTY, AGREE, SEED = 40, 400, 2.0, 1e-4, 0.5, 23
+#: Probability from which a license that no template confirms is reported as unknown.
+SURE = 0.99
 
 TEMPLATES: dict[str, list[str]] = {
     "apache-2.0": [
@@ -65,6 +69,8 @@ TEMPLATES: dict[str, list[str]] = {
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
         "Licensed under the MIT license. See the LICENSE file in the project root for full license information.",
         "SPDX-License-Identifier: MIT",
     ],
@@ -178,43 +184,66 @@ class Classifier:
         e = np.exp(z - z.max(axis=-1, keepdims=True))
         return e / e.sum(axis=-1, keepdims=True)
 
+    def share(self, h: np.ndarray) -> float:
+        """The greatest share of a paragraph's distinct word pairs that stand in one template."""
+        own = np.unique(pair_hashes(h))
+        return max(len(np.intersect1d(own, t)) for ts in self.templates.values() for t in ts) / len(own)
+
     def judge(self, h: np.ndarray) -> tuple[str, float, float] | None:
-        """(family, probability, agreement) of a paragraph's word hashes, if a family is predicted and a template confirms it."""
+        """(family, probability, agreement) of a paragraph's word hashes, if a family is predicted; 'unknown' if it surely is, but no template confirms it."""
         p = self._softmax((self.vector(h) @ self.weights + self.bias) / self.temperature)[:-1]
         k = int(p.argmax())
         if p[k] < self.least or len(h) < 2:
             return None
         own = np.unique(pair_hashes(h))
         agree = max(len(np.intersect1d(own, t)) / min(len(own), len(t)) if len(t) else 0.0 for t in self.templates[self.classes[k]])
-        return (self.classes[k], float(p[k]), float(agree)) if agree >= AGREE else None
+        if agree < AGREE and p[k] < SURE:
+            return None
+        return (self.classes[k] if agree >= AGREE else UNKNOWN, float(p[k]), float(agree))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, agreement of each license paragraph."""
+    """doc_id, paragraph (number of its first line, from 0), family, probability, agreement, n_lines of each license paragraph."""
     model = Classifier()
 
+    def found_in(h: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> list[tuple]:
+        """(row, line, family, probability, agreement, lines). h: word hashes; ends: offsets of the lines' words; starts: offsets of the rows' lines."""
+        n = len(ends) - 1
+        line = np.repeat(np.arange(n), np.diff(ends))
+        opens = np.diff(ends) == 0  # a line without words ends a run, a row's first line begins one
+        opens[starts[:-1]] = True
+        run = np.cumsum(opens)
+        of = run[line]
+        first = np.minimum(np.searchsorted(model.vocabulary, h[:-1]), len(model.vocabulary) - 1)
+        at = np.nonzero((of[1:] == of[:-1]) & (model.vocabulary[first] == h[:-1]))[0]
+        pair = mix(mix(h[at]) * np.uint64(31) + h[at + 1])
+        near = np.minimum(np.searchsorted(model.pairs, pair), len(model.pairs) - 1)
+        at = at[model.pairs[near] == pair]
+        whole, counts = np.unique(of[at], return_counts=True)
+        rows, inside = [], np.full(n, -1)
+        row_of = lambda k: int(np.searchsorted(starts, k, side="right")) - 1
+        for r, c in zip(whole.tolist(), counts.tolist()):
+            a, z = (int(np.searchsorted(of, r, side=s)) for s in ("left", "right"))
+            i, j = int(line[a]), int(line[z - 1])
+            if j > i and c >= AGREE * (z - a - 1) and model.share(h[a:z]) >= AGREE and (got := model.judge(h[a:z])):
+                rows.append((row_of(i), i - int(starts[row_of(i)]), *got, j - i + 1))
+                inside[i : j + 1] = model.classes.index(got[0])
+        for k in np.unique(line[at[line[at] == line[at + 1]]]).tolist():
+            if (got := model.judge(h[ends[k] : ends[k + 1]])) and (inside[k] < 0 or got[0] not in (UNKNOWN, model.classes[inside[k]])):
+                rows.append((row_of(k), k - int(starts[row_of(k)]), *got, 1))
+        return sorted(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "text"):
                 lines = pc.split_pattern(pc.fill_null(part.column(1), ""), "\n")
                 starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lines).to_numpy(zero_copy_only=False))])
                 h, ends = word_hashes(lines.flatten())
-                rows = []
-                if len(h) > 1:
-                    # a pair counts for the line it starts in; pairs across lines are cut off below
-                    line = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-                    inside = line[1:] == line[:-1]
-                    first = np.minimum(np.searchsorted(model.vocabulary, h[:-1]), len(model.vocabulary) - 1)
-                    at = np.nonzero(inside & (model.vocabulary[first] == h[:-1]))[0]
-                    pair = mix(mix(h[at]) * np.uint64(31) + h[at + 1])
-                    near = np.minimum(np.searchsorted(model.pairs, pair), len(model.pairs) - 1)
-                    for k in np.unique(line[at[model.pairs[near] == pair]]).tolist():
-                        found = model.judge(h[ends[k] : ends[k + 1]])
-                        if found:
-                            row = int(np.searchsorted(starts, k, side="right")) - 1
-                            rows.append((row, k - int(starts[row]), *found))
-                cols = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64())], ["doc_id", "paragraph", "family", "probability", "agreement"])
+                cols = list(zip(*(found_in(h, ends, starts) if len(h) > 1 else []))) or [()] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.int32())],
+                    ["doc_id", "paragraph", "family", "probability", "agreement", "n_lines"],
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, paragraph int, family string, probability double, agreement double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, paragraph int, family string, probability double, agreement double, n_lines int")

@@ -15,6 +15,7 @@ a product of membership matrices, in blocks, so that no pair is left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ REGION, BIG, SPLIT, PIVOT_GRAMS, LEVELS, SPREAD, GRAM_BYTES = 4096, 8, 128, 4000
 #: Squares of the parts' sizes, against the region's, from which splitting gains nothing.
 STUCK = 0.9
 
+#: Regions, the largest ones, of more than LED sets whose sets are coded against one of them.
+LEADS, LED = 1024, 16
+SCHEMA = "root long, id long, home boolean, body binary"
+
 Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -129,8 +134,16 @@ def join_region(sets: list[np.ndarray], t: float, depth: int = 0) -> Pairs:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the least id of the connected component of each id in edges (a, b), by alternating large and small stars."""
+    """(id, root): the least id of the connected component of each id in edges (a, b); by alternating large and small stars,
+    or, if the edges' counted size is within the bound of a broadcast, at once in numpy."""
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if e.count() * ID_BYTES <= BROADCAST_BYTES:
+        import pandas as pd
+
+        few = e.toPandas()
+        a, b = forest(few["u"].to_numpy(np.int64), few["v"].to_numpy(np.int64))
+        ids = np.concatenate([b, np.unique(a)])
+        return e.sparkSession.createDataFrame(pd.DataFrame({"id": ids, "root": np.concatenate([a, np.unique(a)])}), "id long, root long")
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = F.min("v").over(Window.partitionBy("u"))
@@ -151,15 +164,45 @@ def small(df: DataFrame, rows: int, row_bytes: int = ID_BYTES) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def packed(grams: np.ndarray) -> bytes:
-    """A set's hashes, GRAM_BYTES of each: those equal in these bytes count as one gram."""
-    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES]).tobytes()
+@dataclass
+class Regions:
+    """Rows root, id, home, body, and the broadcast lead sets (root to hashes) against which bodies are coded, if any."""
+
+    rows: DataFrame
+    leads: object = None
+
+
+def coded(grams: np.ndarray, lead: np.ndarray | None, width: int = GRAM_BYTES) -> bytes:
+    """A set: which of the lead's hashes it has, a bit each, and its others; or all of its own. width: bytes of a hash."""
+    if lead is None:
+        return bytes([0, width]) + packed(grams, width)
+    own = unpacked(packed(grams, width), width)
+    at = np.minimum(np.searchsorted(lead, own), len(lead) - 1)
+    shared = lead[at] == own
+    bits = np.zeros(len(lead), bool)
+    bits[at[shared]] = True
+    return bytes([1, width]) + np.packbits(bits).tobytes() + packed(own[~shared], width)
+
+
+def decoded(body: bytes, lead: np.ndarray | None) -> np.ndarray:
+    """The sorted distinct hashes of a coded set."""
+    width = body[1]
+    if not body[0]:
+        return unpacked(body[2:], width)
+    n = 2 + (len(lead) + 7) // 8
+    bits = np.unpackbits(np.frombuffer(body, np.uint8, n - 2, 2), count=len(lead)).astype(bool)
+    return np.sort(np.concatenate([lead[bits], unpacked(body[n:], width)]))
 
 
-def unpacked(body: bytes) -> np.ndarray:
+def packed(grams: np.ndarray, width: int) -> bytes:
+    """The low bytes of a set's hashes: those equal in these bytes count as one gram."""
+    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpacked(body: bytes, width: int) -> np.ndarray:
     """The sorted distinct hashes."""
-    out = np.zeros((len(body) // GRAM_BYTES, 8), np.uint8)
-    out[:, :GRAM_BYTES] = np.frombuffer(body, np.uint8).reshape(-1, GRAM_BYTES)
+    out = np.zeros((len(body) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(body, np.uint8).reshape(-1, width)
     return np.unique(out.reshape(-1).view("<u8"))
 
 
@@ -168,36 +211,53 @@ def digest(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes()) - 2**63
 
 
-def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """(id, body): each row's n-gram set, by digest, packed; not empty ones. docs: text."""
+def least_ids(classes: DataFrame) -> DataFrame:
+    """id, doc_id: the least id of the documents of each set."""
+    return classes.where("doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+
+
+def lead_sets(docs: DataFrame, members: DataFrame, n: int, width: int) -> dict[int, np.ndarray]:
+    """root to the set of the least document of each of the LEADS largest regions of more than LED sets, thinned to PIVOT_GRAMS hashes. members: root, id, doc_id."""
+    lead = members.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "id")).alias("m")).where(F.col("n") > LED).orderBy(F.desc("n"), "root").limit(LEADS).select("root", "m.doc_id", "m.id")
+    rows = lead.collect()  # LEADS rows at most
+    if not rows:
+        return {}
+    table = docs.sparkSession.createDataFrame(rows, "root long, doc_id long, id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in slices(b, "text"):
-                sets = [s for s in gram_sets(p.column(0), n) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())], ["id", "body"])
+                found = [(r, unpacked(packed(s, width), width)) for s, r, i in zip(gram_sets(p.column(0), n), p.column(1).to_pylist(), p.column(2).to_pylist()) if len(s) and digest(s) == i]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([packed(s[:: -(-len(s) // PIVOT_GRAMS)], width) for _, s in found], pa.binary())], ["root", "body"])
 
-    return docs.select("text").mapInArrow(run, "id long, body binary")
+    sets = docs.join(F.broadcast(table), "doc_id").select("text", "root", "id").mapInArrow(run, "root long, body binary").dropDuplicates(["root"])
+    return {x.root: unpacked(x.body, width) for x in sets.collect()}  # LEADS sets of PIVOT_GRAMS hashes at most
 
 
-def least_ids(classes: DataFrame) -> DataFrame:
-    """id, doc_id: the least id of the documents of each set."""
-    return classes.where("doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+def regions_of(docs: DataFrame, classes: DataFrame, edges: DataFrame, n: int, t: float, width: int = GRAM_BYTES) -> Regions:
+    """The sets of the components of edges (a, b) as regions of at most REGION sets, if pivots can split them. docs: doc_id,
+    text; classes: doc_id, id."""
+    members = written(components(edges).join(least_ids(classes), "id").select("root", "id", "doc_id"), "members")
+    leads = docs.sparkSession.sparkContext.broadcast(lead_sets(docs, members, n, width))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in slices(b, "text"):
+                found = [(r, i, coded(s, leads.value.get(r), width)) for s, r, i in zip(gram_sets(p.column(0), n), p.column(1).to_pylist(), p.column(2).to_pylist()) if len(s) and digest(s) == i]
+                cols = list(zip(*found)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([True] * len(found), pa.bool_()), pa.array(cols[2], pa.binary())], ["root", "id", "home", "body"])
 
-def regions_of(docs: DataFrame, classes: DataFrame, edges: DataFrame, n: int, t: float) -> DataFrame:
-    """(root, id, home, body): the sets of the components of edges (a, b) as regions of at most REGION sets, if pivots can
-    split them. docs: doc_id, text; classes: doc_id, id."""
-    members = written(components(edges).join(least_ids(classes), "id").select("root", "id", "doc_id"), "members")
-    count = members.count()
-    wanted = small(members.select("doc_id").distinct(), count, 8)
-    bodies = set_rows(docs.join(wanted, "doc_id", "left_semi"), n)
-    rows = bodies.join(small(members.select("id", "root"), count), "id").select("root", "id", F.lit(True).alias("home"), "body")
-    sizes = members.groupBy("root").count().where(F.col("count") > REGION)
-    if not sizes.limit(1).count():
-        return rows
-    rows = written(rows, "regions")  # as regions are counted and split again and again
-    return split_large(rows, t)
+    rows = docs.join(small(members, members.count(), 24), "doc_id").select("text", "root", "id").mapInArrow(run, SCHEMA)
+    if not members.groupBy("root").count().where(F.col("count") > REGION).limit(1).count():
+        return Regions(rows, leads)
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bodies = [coded(decoded(x, leads.value.get(r)), None, width) for r, x in zip(b.column(0).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bodies, pa.binary())], ["root", "id", "home", "body"])
+
+    # regions are counted and split again and again
+    return Regions(split_large(written(rows.mapInArrow(plain, SCHEMA), "regions"), t))
 
 
 def split_large(rows: DataFrame, t: float) -> DataFrame:
@@ -213,7 +273,7 @@ def split_large(rows: DataFrame, t: float) -> DataFrame:
         least = own.groupBy("root", F.pmod(F.xxhash64("id"), F.lit(SPLIT)).alias("k")).agg(F.min(drawn).alias("least")).collect()  # BIG x SPLIT rows at most
         pivots: dict[int, list[np.ndarray]] = {}
         for x in own.where(drawn.isin([x.least for x in least])).select("root", "id", "body").dropDuplicates(["root", "id"]).collect():  # as many
-            s = unpacked(x.body)
+            s = decoded(x.body, None)
             pivots.setdefault(x.root, []).append(s[:: -(-len(s) // PIVOT_GRAMS)])
         for x in pivots.values():
             x.sort(key=lambda p: (len(p), p.tobytes()))
@@ -259,7 +319,7 @@ def _by_root(b: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray], np.ndar
     root = b.column(0).to_numpy()
     for r in np.unique(root):
         at = np.nonzero(root == r)[0]
-        yield int(r), [unpacked(b.column(3)[k].as_py()) for k in at.tolist()], at
+        yield int(r), [decoded(b.column(3)[k].as_py(), None) for k in at.tolist()], at
 
 
 def _replicated(known, t: float, level: int):
@@ -286,9 +346,11 @@ def _replicated(known, t: float, level: int):
     return run
 
 
-def _found(rows: DataFrame, t: float, make, schema: str) -> DataFrame:
+def _found(regions: Regions, t: float, make, schema: str) -> DataFrame:
     """make(ids, i, j, shared, sizes) of the pairs of each region; ids are ascending, so i is the lesser."""
 
+    rows, leads = regions.rows, regions.leads
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root, ids, home, sets = None, [], [], []
 
@@ -307,23 +369,23 @@ def _found(rows: DataFrame, t: float, make, schema: str) -> DataFrame:
                 root = r
                 ids.append(i)
                 home.append(h)
-                sets.append(unpacked(s))
+                sets.append(decoded(s, leads.value.get(r) if leads else None))
         if ids:
             yield out()
 
     return rows.select("root", "id", "home", "body").repartition("root").sortWithinPartitions("root").mapInArrow(run, schema)
 
 
-def pairs_of(rows: DataFrame, t: float) -> DataFrame:
+def pairs_of(regions: Regions, t: float) -> DataFrame:
     """(a, b, jaccard): the sets, by id, of similarity t or more."""
 
     def make(ids, i, j, c, size):
         return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(c / (size[i] + size[j] - c), pa.float64())], ["a", "b", "jaccard"])
 
-    return _found(rows, t, make, "a long, b long, jaccard double")
+    return _found(regions, t, make, "a long, b long, jaccard double")
 
 
-def links_of(rows: DataFrame, t: float) -> DataFrame:
+def links_of(regions: Regions, t: float) -> DataFrame:
     """(a, b, n): for each region edges (a, b) that connect what is similar, and (a, null, n): n similar sets of a. As many rows as sets, not as pairs."""
 
     def make(ids, i, j, c, size):
@@ -333,7 +395,7 @@ def links_of(rows: DataFrame, t: float) -> DataFrame:
         none = pa.nulls(len(at), pa.int64())
         return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a, pa.int64()), pa.array(ids[at], pa.int64())]), pa.concat_arrays([pa.array(b, pa.int64()), none]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(n[at], pa.int64())])], ["a", "b", "n"])
 
-    return _found(rows, t, make, "a long, b long, n long")
+    return _found(regions, t, make, "a long, b long, n long")
 
 
 def named_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -348,10 +410,10 @@ def named_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return copies.unionByName(near)
 
 
-def named_classes(classes: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+def named_classes(classes: DataFrame, regions: Regions, t: float) -> DataFrame:
     """(doc_id, class_id, copy_of, n_links), one row for each id and set: the least id of the documents that similarity
     connects, the least id of the same set, and the number of other sets that are similar. classes: doc_id, id (null: no set)."""
-    found = written(links_of(rows, t), "links")
+    found = written(links_of(regions, t), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
     groups = components(found.where("b is not null").select("a", "b"))
     one = least_ids(classes.where("id is not null")).withColumnRenamed("doc_id", "copy_of")

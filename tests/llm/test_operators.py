@@ -445,6 +445,8 @@ def test_ngram_classes_are_exact(ready, monkeypatch, form):
         monkeypatch.setattr(ngram_join, "PAIRED", 2)
         monkeypatch.setattr(regions, "REGION", 14)
     rows = near_corpus(21, 90)
+    if form == "ngram_join":
+        monkeypatch.setattr(regions, "LED", 2)
     if form == "hot_grams":  # stretches in which a gram is met
         monkeypatch.setattr(ngram_join, "HOT", 3)
     got = {x.doc_id: (x.class_id, x.copy_of, x.n_links) for x in ngram_join.near_classes(docs_of(ready, rows)).collect()}
@@ -458,14 +460,22 @@ def test_split_in_spark_is_exact(ready, monkeypatch, t, size):
     rows = [(k, x) for k, (_, x) in enumerate(near_corpus(31, 70)) if x]
     sets = gram_sets(pa.array([x for _, x in rows], pa.string()), 3)
     kinds = sorted({regions.digest(s): s for s in sets}.items())
-    d = ready.createDataFrame([(7, i, True, bytearray(regions.packed(s))) for i, s in kinds], "root long, id long, home boolean, body binary")
+    d = ready.createDataFrame([(7, i, True, bytearray(regions.coded(s, None))) for i, s in kinds], "root long, id long, home boolean, body binary")
     split = regions.split_large(d, t)
     assert t < 0.5 or split.select("root").distinct().count() > 3  # below, unlike sets can't be told apart by pivots
-    got = sorted((x.a, x.b) for x in regions.pairs_of(split, t).collect())
+    got = sorted((x.a, x.b) for x in regions.pairs_of(regions.Regions(split), t).collect())
     want = sorted((a, b) for a, s in kinds for b, u in kinds if a < b and len(np.intersect1d(s, u)) >= t * len(np.union1d(s, u)) - 1e-9)
     assert got == want and len(want) > 20
 
 
+def test_coded_sets_come_back():
+    r = np.random.default_rng(1)
+    lead = np.unique(r.integers(0, 2**48, 101, dtype=np.uint64))
+    for own in (lead, lead[::3], np.unique(np.concatenate([lead[:50], r.integers(0, 2**48, 30, dtype=np.uint64)])), r.integers(0, 2**48, 1, dtype=np.uint64)):
+        for known in (lead, None):
+            assert regions.decoded(regions.coded(own, known), known).tolist() == own.tolist()
+
+
 def test_hot_bands_stay_connected(ready, monkeypatch):
     monkeypatch.setattr(fingerprints, "HOT", 3)
     rows = near_corpus(9)
@@ -507,7 +517,9 @@ def test_region_join_is_exact(monkeypatch, leaf):
     assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
 
 
-def test_components(ready):
+@pytest.mark.parametrize("most", [0, 32_000_000])
+def test_components(ready, monkeypatch, most):
+    monkeypatch.setattr(regions, "BROADCAST_BYTES", most)
     e = ready.createDataFrame([(1, 2), (2, 3), (9, 3), (5, 6), (7, 6), (8, 8), (2, 1)] + [(k, k + 1) for k in range(100, 140)], "a long, b long")
     got = {x.id: x.root for x in regions.components(e).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5, 7: 5} | {k: 100 for k in range(100, 141)}
@@ -579,6 +591,48 @@ def test_licenses(ready):
     assert np.mean([j is None for f, j in judged if f == "unknown"]) > 0.98
 
 
+def test_licenses_wrapped_over_lines(ready):
+    import textwrap
+
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+           "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."]
+    r = random.Random(5)
+    wrapped = ["\n".join(textwrap.wrap(p, 80)) for p in mit]
+    text = "\n\n".join([prose(r, 40), *wrapped, "\n".join([prose(r, 30), "Released under the MIT License.", prose(r, 30)])])
+    got = license_scan.scan(docs_of(ready, [(1, text), (2, prose(r, 500)), (None, wrapped[0])])).collect()
+    lines = text.split("\n")
+    one = sorted((x.paragraph, x.n_lines, x.family) for x in got if x.doc_id == 1)
+    assert [f for *_, f in one] == ["mit"] * 3 and not [x for x in got if x.doc_id == 2]
+    assert ["\n".join(lines[a : a + n]) for a, n, _ in one] == [*wrapped, "Released under the MIT License."]
+    assert [(x.paragraph, x.family) for x in got if x.doc_id is None] == [(0, "mit")]
+
+
+def test_license_scan_against_paragraph_by_paragraph(ready):
+    """The vectorised scan against each run and line judged by itself."""
+    r = random.Random(9)
+    model, templates = license_scan.Classifier(), [t for ts in license_scan.TEMPLATES.values() for t in ts]
+    rows = []
+    for k in range(60):
+        lines = [r.choice([prose(r, r.randint(1, 12)), r.choice(templates), "", " ".join(r.choice(templates).split()[: r.randint(2, 9)])]) for _ in range(r.randint(0, 9))]
+        rows.append((k, "\n".join(lines)))
+    judge = lambda t: model.judge(h) if len(h := np.array([license_scan._hash(w) for w in license_scan._words(t)], np.uint64)) > 1 and np.isin(license_scan.pair_hashes(h), model.pairs).any() else None
+    want = []
+    for k, t in rows:
+        lines, a = t.split("\n"), 0
+        while a < len(lines):
+            z = a
+            while z < len(lines) and license_scan._words(lines[z]):
+                z += 1
+            words = [license_scan._hash(w) for w in license_scan._words(" ".join(lines[a:z]))]
+            share = np.isin(license_scan.pair_hashes(np.array(words, np.uint64)), model.pairs).mean() if len(words) > 1 else 0
+            whole = None
+            if z - a > 1 and share >= license_scan.AGREE and model.share(np.array(words, np.uint64)) >= license_scan.AGREE and (whole := judge(" ".join(lines[a:z]))):
+                want.append((k, a, whole[0], z - a))
+            want += [(k, i, got[0], 1) for i in range(a, z) if (got := judge(lines[i])) and (not whole or got[0] not in ("unknown", whole[0]))]
+            a = z + 1
+    assert sorted((x.doc_id, x.paragraph, x.family, x.n_lines) for x in license_scan.scan(docs_of(ready, rows)).collect()) == sorted(want) and len(want) > 50
+
+
 def labelled_corpus(spark):
     r = random.Random(8)
     bad = ["idiot", "moron", "worthless", "pathetic", "disgusting"]
