@@ -417,6 +417,17 @@ def test_ngram_join_is_exact(ready, monkeypatch, paired):
     assert got == pytest.approx(brute(rows, ngram_join.N, ngram_join.THRESHOLD))
 
 
+def test_pairs_of_a_block_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRS", 500, raising=False)
+    regions_, each = 50, 20
+    keys = np.repeat(np.arange(regions_, dtype=np.uint64), each)
+    names = np.arange(regions_ * each, dtype=np.int64)
+    row = (0, keys.tobytes(), names.astype(np.uint16).tobytes(), names.tobytes(), np.full(len(names), 9, np.int32).tobytes(), np.zeros(len(names), np.int64).tobytes())
+    batch = pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int64(), *[pa.binary()] * 5))], ["block", "keys", "refs", "ids", "sizes", "marks"])
+    out = [b.num_rows for b in ngram_join._paired(0.6)(iter([batch]))]
+    assert sum(out) == regions_ * each * (each - 1) // 2 and max(out) < 1000
+
+
 def classes_by_hand(rows, n, t):
     """doc_id -> (class_id, copy_of, n_links) by brute force over all pairs."""
     sets = {i: tuple(s.tolist()) for (i, _), s in zip(rows, gram_sets(pa.array([x[1] for x in rows], pa.string()), n))}
