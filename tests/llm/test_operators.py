@@ -417,6 +417,19 @@ def test_ngram_join_is_exact(ready, monkeypatch, paired):
     assert got == pytest.approx(brute(rows, ngram_join.N, ngram_join.THRESHOLD))
 
 
+def test_frequent_words_tie_no_regions(ready, monkeypatch):
+    """However many grams are frequent in a large corpus, here more than the list takes: they aren't among the first grams."""
+    monkeypatch.setattr(ngram_join, "MOST_OFTEN", 0)
+    monkeypatch.setattr(ngram_join, "PAIRED", 3)
+    r = random.Random(5)
+    common = ["the", "of", "and", "to", "in", "is"]
+    rows = [(k, " ".join(r.choice(common) if r.random() < 0.6 else f"w{r.randrange(3000)}" for _ in range(120))) for k in range(400)]
+    rows += [(400 + k, t + " end") for k, (_, t) in enumerate(rows[:5])]
+    classes, found = ngram_join.near_regions(docs_of(ready, rows).select("doc_id", "text"))
+    assert found.rows.groupBy("root").count().agg(F.max("count")).head()[0] < 20
+    assert {(x.a, x.b) for x in regions.pairs_of(found, 0.6).collect()} == {tuple(sorted((a, b))) for a, b in zip(*[[x.id for x in classes.where(f"doc_id between {k} and {k + 4}").orderBy("doc_id").collect()] for k in (0, 400)])}
+
+
 def test_pairs_of_a_block_come_in_pieces(monkeypatch):
     monkeypatch.setattr(ngram_join, "PAIRS", 500, raising=False)
     regions_, each = 50, 20
