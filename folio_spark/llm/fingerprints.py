@@ -1,8 +1,8 @@
 """Document fingerprints by MinHash: universal hash permutations over word shingles, banded signatures, verified Jaccard.
 
 Each distinct shingle set of a task gets 128 minima of multiply-shift universal hashes (numpy, all documents of a slice at a time).
-32 bands of 4 minima are joined in Spark: sets that share a band meet, and a sketch of two bits a minimum, which travels
-with the band, drops pairs whose estimated similarity is more than SLACK below the threshold. Bands of more than HOT sets
+32 bands of 4 minima are joined in Spark: first only ids and sizes are shuffled by band, and what has a band alone goes; the
+few rows of shared bands then get a sketch of two bits a minimum, which drops pairs whose estimated similarity is more than SLACK below the threshold. Bands of more than HOT sets
 are connected as they are, first within each task, so that one of them goes on, then across tasks: no set is compared with
 all others, and none is left out. What is left falls into connected groups, in which Jaccard is verified on the whole
 shingle sets, for all pairs (regions).
@@ -109,13 +109,13 @@ def _signed(n: int):
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, id, size, sketch, other): a set in a band. Bands of more than HOT sets of a stretch go on with one set only (size
+    """(band, id, size, other): a set in a band. Bands of more than HOT sets of a stretch go on with one set only (size
     below zero), to which the stretch's other sets are connected: rows with other."""
-    names = ["band", "id", "size", "sketch", "other"]
+    names = ["band", "id", "size", "other"]
     held: list[tuple] = []
 
     def out():
-        ids, sizes, keys, sketch = (np.concatenate(x) for x in zip(*held))
+        ids, sizes, keys = (np.concatenate(x) for x in zip(*held))
         at, band = np.repeat(np.arange(len(ids)), BANDS), keys.reshape(-1)
         _, code, count = np.unique(band, return_inverse=True, return_counts=True)
         hot = count[code] > HOT
@@ -127,21 +127,19 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lead = h[np.nonzero(first)[0][np.cumsum(first) - 1]]
             a, b = forest(ids[at[lead[~first]]], ids[at[h[~first]]])
             none = pa.nulls(len(a), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(a), none, pa.nulls(len(a), pa.binary()), pa.array(b)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(a), none, pa.array(b)], names)
             wild[h[first]] = True
             keep = np.nonzero(~hot | wild)[0]
             at, band, wild = at[keep], band[keep], wild[keep]
         for i in range(0, len(at), 50_000):
             k = at[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(band[i : i + 50_000]), pa.array(ids[k]), pa.array(np.where(wild[i : i + 50_000], -sizes[k], sizes[k])), pa.array(sketch[k].tolist(), pa.binary()), pa.nulls(len(k), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(band[i : i + 50_000]), pa.array(ids[k]), pa.array(np.where(wild[i : i + 50_000], -sizes[k], sizes[k])), pa.nulls(len(k), pa.int64())], names)
 
     total = 0
     for b in batches:
         if not b.num_rows:
             continue
-        sketch = np.empty(b.num_rows, object)
-        sketch[:] = b.column(3).to_pylist()
-        held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64).reshape(-1, BANDS), sketch))
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64).reshape(-1, BANDS)))
         total += b.num_rows
         if total >= STRETCH:
             yield from out()
@@ -150,38 +148,81 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def _meet(t: float):
-    """(a, b): edges that connect the sets of a common band whose sizes and sketches allow a similarity of t; all sets of a hot band. Rows come sorted by band."""
+def _shared(t: float):
+    """(band, id, size, other) of the rows of bands that sets share whose sizes allow a similarity of t, without size; of hot bands,
+    and of rows with other, edges (id, other). Rows come sorted by band."""
+    names = ["band", "id", "size", "other"]
 
-    def pairs(band, ids, size, sketch):
+    def edges(a, b):
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(a, pa.int64()), pa.nulls(len(a), pa.int32()), pa.array(b, pa.int64())], names)
+
+    def met(band, ids, size):
         order = np.lexsort((size > 0, ids, band))
-        band, ids, size, sketch = band[order], ids[order], size[order], sketch[order]
+        band, ids, size = band[order], ids[order], size[order]
         once = np.ones(len(band), bool)  # equal sets count once
         once[1:] = (band[1:] != band[:-1]) | (ids[1:] != ids[:-1])
-        band, ids, size, sketch = band[once], ids[once], size[once], sketch[once]
+        band, ids, size = band[once], ids[once], size[once]
         starts = np.nonzero(np.append(True, band[1:] != band[:-1]))[0]
         count = np.diff(np.append(starts, len(band)))
         hot = np.repeat((count > HOT) | np.logical_or.reduceat(size < 0, starts), count)
-        lead = np.repeat(starts, count)
-        left, right = [ids[lead[hot]]], [ids[hot]]
-        for shift in range(1, HOT):
-            same = (band[:-shift] == band[shift:]) & ~hot[shift:]
-            if shift >= len(band) or not same.any():
+        if hot.any():
+            lead = np.repeat(starts, count)
+            yield edges(*forest(ids[lead[hot]], ids[hot]))
+        # in order of size, what has a match has one beside it
+        band, ids, size = band[~hot], ids[~hot], size[~hot]
+        order = np.lexsort((size, band))
+        band, ids, size = band[order], ids[order], size[order]
+        near = (band[1:] == band[:-1]) & (size[:-1] >= t * size[1:] - 1e-6)
+        keep = np.append(near, False) | np.append(False, near)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(band[keep]), pa.array(ids[keep]), pa.array(size[keep], pa.int32()), pa.nulls(int(keep.sum()), pa.int64())], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for x in batches:
+            edge = pa.compute.is_valid(x.column(3))
+            known = x.filter(edge)
+            if known.num_rows:
+                yield edges(known.column(1), known.column(3))
+                x = x.filter(pa.compute.invert(edge))
+            if not x.num_rows:
+                continue
+            own = (x.column(0).to_numpy(), x.column(1).to_numpy(), x.column(2).to_numpy().astype(np.int64))
+            if held is not None:
+                own = tuple(np.concatenate(c) for c in zip(held, own))
+            cut = int(np.searchsorted(own[0], own[0][-1]))  # the last band may go on in the next batch
+            held = tuple(c[cut:] for c in own)
+            if cut:
+                yield from met(*(c[:cut] for c in own))
+            if len(held[0]) > 8 * HOT:  # of a hot band one set goes on, tied to the others
+                yield edges(*forest(np.full(len(held[1]), held[1].min()), held[1]))
+                held = (held[0][:1], held[1].min(keepdims=True), np.full(1, -1, np.int64))
+        if held is not None:
+            yield from met(*held)
+
+    return run
+
+
+def _meet(t: float):
+    """(a, b): edges that connect the sets of a common band whose sizes and sketches allow a similarity of t. Rows (band, id, size, sketch) come sorted by band, HOT of a band at most."""
+
+    def pairs(band, ids, size, sketch):
+        left, right = [], []
+        for shift in range(1, min(HOT, len(band))):
+            same = band[:-shift] == band[shift:]
+            if not same.any():
                 break
             at = np.nonzero(same & (np.minimum(size[:-shift], size[shift:]) >= t * np.maximum(size[:-shift], size[shift:]) - 1e-6))[0]
             at = at[similarity(sketch[at], sketch[at + shift]) >= t - SLACK]
             left.append(ids[at]), right.append(ids[at + shift])
-        a, b = forest(np.concatenate(left), np.concatenate(right))  # groups are enough: all their pairs are verified
+        none = [np.zeros(0, np.int64)]
+        a, b = forest(np.concatenate(left or none), np.concatenate(right or none))  # groups are enough: all their pairs are verified
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for x in batches:
-            edge = pa.compute.is_valid(x.column(4))
-            known = x.filter(edge)
-            if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column(1), known.column(4)], ["a", "b"])
-                x = x.filter(pa.compute.invert(edge))
             if not x.num_rows:
                 continue
             own = (x.column(0).to_numpy(), x.column(1).to_numpy(), x.column(2).to_numpy().astype(np.int64), np.frombuffer(b"".join(x.column(3).to_pylist()), np.uint64).reshape(x.num_rows, BANDS * ROWS // 32))
@@ -191,9 +232,6 @@ def _meet(t: float):
             held = tuple(c[cut:] for c in own)
             if cut:
                 yield pairs(*(c[:cut] for c in own))
-            if len(held[0]) > 8 * HOT:  # of a hot band one set goes on
-                yield pairs(*held)
-                held = (held[0][:1], held[1].min(keepdims=True), np.full(1, -1, np.int64), held[3][:1])
         if held is not None:
             yield pairs(*held)
 
@@ -203,8 +241,13 @@ def _meet(t: float):
 def near_regions(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, Regions]:
     """(classes: doc_id, id; regions of sets that may be similar). docs: doc_id, text."""
     signed = written(docs.mapInArrow(_signed(n), "doc_id long, id long, size int, bands binary, sketch binary"), "signatures")
-    rows = signed.where("bands is not null").select("id", "size", "bands", "sketch").mapInArrow(_banded, "band long, id long, size int, sketch binary, other long")
-    edges = rows.repartition("band").sortWithinPartitions("band").mapInArrow(_meet(t), "a long, b long").distinct()
+    once = signed.where("bands is not null")
+    rows = once.select("id", "size", "bands").mapInArrow(_banded, "band long, id long, size int, other long")
+    shared = written(rows.repartition("band").sortWithinPartitions("band").mapInArrow(_shared(t), "band long, id long, size int, other long"), "shared")
+    few = shared.where("other is null").select("band", "id", "size")
+    sketches = once.select("id", "sketch").groupBy("id").agg(F.first("sketch").alias("sketch"))  # equal sets have the same
+    met = few.join(sketches, "id").select("band", "id", "size", "sketch").repartition("band").sortWithinPartitions("band").mapInArrow(_meet(t), "a long, b long")
+    edges = met.unionByName(shared.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))).distinct()
     classes = signed.select("doc_id", "id")
     return classes, regions_of(docs, classes, edges, n, t, VERIFY_BYTES)
 

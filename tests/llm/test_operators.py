@@ -500,6 +500,20 @@ def test_coded_sets_come_back():
             assert regions.decoded(regions.coded(own, known), known).tolist() == own.tolist()
 
 
+def test_only_shared_bands_travel_with_sketches(ready):
+    """The shuffle by band holds ids and sizes; a band that no other set has ends there."""
+    rows = [(k, prose(random.Random(k), 60)) for k in range(40)]
+    rows += [(40 + k, t + " end") for k, (_, t) in enumerate(rows[:4])]
+    signed = [b for b in fingerprints._signed(3)(iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])]))]
+    banded = pa.Table.from_batches(list(fingerprints._banded(iter([b.select(["id", "size", "bands", "sketch"]) for b in signed]))))
+    assert all(k != pa.binary() for k in banded.schema.types)
+    by = banded.sort_by("band").combine_chunks().to_batches()
+    few = pa.Table.from_batches(list(fingerprints._shared(0.6)(iter(by))))
+    name = dict(zip(signed[0].column(0).to_pylist(), signed[0].column(1).to_pylist()))
+    assert {name[k] for k in (0, 1, 2, 3, 40, 41, 42, 43)} <= set(few.column("id").to_pylist())
+    assert few.num_rows < 0.3 * banded.num_rows
+
+
 def test_hot_bands_stay_connected(ready, monkeypatch):
     monkeypatch.setattr(fingerprints, "HOT", 3)
     rows = near_corpus(9)
