@@ -239,7 +239,7 @@ def _meet(t: float):
 
 
 def near_regions(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, Regions]:
-    """(classes: doc_id, id; regions of sets that may be similar). docs: doc_id, text."""
+    """(classes: doc_id, id, size; regions of sets that may be similar). docs: doc_id, text."""
     signed = written(docs.mapInArrow(_signed(n), "doc_id long, id long, size int, bands binary, sketch binary"), "signatures")
     once = signed.where("bands is not null")
     rows = once.select("id", "size", "bands").mapInArrow(_banded, "band long, id long, size int, other long")
@@ -248,7 +248,7 @@ def near_regions(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, Regions]
     sketches = once.select("id", "sketch").groupBy("id").agg(F.first("sketch").alias("sketch"))  # equal sets have the same
     met = few.join(sketches, "id").select("band", "id", "size", "sketch").repartition("band").sortWithinPartitions("band").mapInArrow(_meet(t), "a long, b long")
     edges = met.unionByName(shared.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))).distinct()
-    classes = signed.select("doc_id", "id")
+    classes = signed.select("doc_id", "id", "size")
     return classes, regions_of(docs, classes, edges, n, t, VERIFY_BYTES)
 
 

@@ -492,6 +492,39 @@ def test_split_in_spark_is_exact(ready, monkeypatch, t, size):
     assert got == want and len(want) > 20
 
 
+def near_sets(n):
+    """Sets of which nearly all are near each other, so that no pivot splits them."""
+    r = np.random.default_rng(8)
+    base = np.unique(r.integers(0, 2**40, 60, dtype=np.uint64))
+    return [np.unique(np.concatenate([np.delete(base, r.choice(len(base), 9, replace=False)), r.integers(0, 2**40, 5, dtype=np.uint64)])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("size,most", [(16, 32_000_000), (4096, 3000)])
+def test_regions_that_no_pivot_splits_are_tiled(ready, monkeypatch, size, most):
+    monkeypatch.setattr(regions, "REGION", size)
+    monkeypatch.setattr(regions, "REGION_BYTES", most, raising=False)
+    kinds = sorted({regions.digest(s): s for s in near_sets(60)}.items())
+    d = ready.createDataFrame([(7, i, True, bytearray(regions.coded(s, None))) for i, s in kinds], "root long, id long, home boolean, body binary")
+    split = regions.split_large(d, 0.6)
+    assert split.groupBy("root").count().agg({"count": "max"}).head()[0] <= 40
+    want = sorted((a, b) for a, s in kinds for b, u in kinds if a < b and len(np.intersect1d(s, u)) >= 0.6 * len(np.union1d(s, u)) - 1e-9)
+    assert sorted((x.a, x.b) for x in regions.pairs_of(regions.Regions(split), 0.6).collect()) == want and len(want) > 500
+    found = regions.links_of(regions.Regions(split), 0.6).collect()
+    links = {}
+    for x in found:
+        if x.b is None:
+            links[x.a] = links.get(x.a, 0) + x.n
+    assert links == {i: sum(i in p for p in want) for i, _ in kinds if any(i in p for p in want)}
+    assert len(regions.forest(*np.array([(x.a, x.b) for x in found if x.b is not None]).T)[0]) == len(links) - 1
+
+
+def test_pairs_of_a_region_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(regions, "BLOCK", 8)
+    sets = near_sets(50)
+    pieces = [len(i) for i, _, _ in regions.joined(sets, 0.6)]
+    assert sum(pieces) == len(regions.join_region(sets, 0.6)[0]) > 500 and max(pieces) <= 64
+
+
 def test_coded_sets_come_back():
     r = np.random.default_rng(1)
     lead = np.unique(r.integers(0, 2**48, 101, dtype=np.uint64))
