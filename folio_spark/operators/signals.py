@@ -1,11 +1,16 @@
-"""Page signals from text, boxes and images; all relational."""
+"""Page signals from text, boxes and images; all relational, but for the areas of intersections."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio_spark.functions import text as T
+from folio_spark.operators import areas
+from folio_spark.session import ship
 
 
 def with_text_signals(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -29,16 +34,13 @@ def valid_boxes(boxes: DataFrame) -> DataFrame:
 
 
 def bbox_overlap(boxes: DataFrame, page: list[str]) -> DataFrame:
-    """page, area, overlap: summed areas of the boxes and of their pairwise intersections. A range join inside each page."""
-    b = valid_boxes(boxes).select(*page, "x0", "y0", "x1", "y1")
-    b = b.withColumn("n", F.row_number().over(Window.partitionBy(*page).orderBy("x0", "y0", "x1", "y1")))
-    left = b.select(*page, *[F.col(k).alias(f"l_{k}") for k in ("x0", "y0", "x1", "y1", "n")])
-    pairs = left.join(b, page).where((F.col("l_n") < F.col("n")) & (F.col("x0") < F.col("l_x1")))
-    zero = F.lit(0).cast("double")
-    shared = F.greatest(zero, F.least("l_x1", "x1").cast("double") - F.greatest("l_x0", "x0")) * F.greatest(zero, F.least("l_y1", "y1").cast("double") - F.greatest("l_y0", "y0"))
-    overlap = pairs.groupBy(*page).agg(F.sum(shared).alias("overlap"))
-    area = b.groupBy(*page).agg(F.sum((F.col("x1").cast("double") - F.col("x0")) * (F.col("y1").cast("double") - F.col("y0"))).alias("area"))
-    return area.join(overlap, page, "left").select(*page, "area", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    """page, area, overlap: summed areas of the boxes and of their pairwise intersections. Equal boxes are counted first; then
+    a page's boxes are taken on the grid of their edges, as their pairs may be as many as the square."""
+    ship(boxes.sparkSession)
+    b = valid_boxes(boxes).groupBy(*page, "x0", "y0", "x1", "y1").agg(F.count("*").alias("n"))
+    p = b.groupBy(*page).agg(F.sum(F.col("n") * (F.col("x1").cast("double") - F.col("x0")) * (F.col("y1").cast("double") - F.col("y0"))).alias("area"), F.collect_list(F.struct("x0", "y0", "x1", "y1", "n")).alias("b"))
+    known = reduce(and_, [F.col(k).isNotNull() for k in page])  # rows without a page aren't on one page
+    return p.select(*page, "area", F.when(known, areas.overlap_area("b", often=True)).otherwise(0.0).alias("overlap"))
 
 
 def union_area(boxes: DataFrame, page: list[str]) -> DataFrame:

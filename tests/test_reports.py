@@ -1,11 +1,13 @@
 """Tables of data sheets in text, captions, and the joins and roll-ups of evaluation in cases that the test tables don't hold."""
 
 import math
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio_spark.operators import blocks, datasheets, reports, tables
+from folio_spark.operators import areas, blocks, datasheets, reports, signals, tables
 from folio_spark.plans import pipeline
 
 
@@ -71,3 +73,40 @@ def test_image_and_span_areas(spark):
     d = spark.createDataFrame(rows, f"k int, s {box}")
     got = {x.k: (x.c, x.o) for x in d.select("k", pipeline.covered("s").alias("c"), pipeline.overlapping("s").alias("o")).collect()}
     assert got[1] == (81.0, 4.0 / 32) and got[2] == got[3] == (0.0, 0.0) and got[4] == (4.0, 0.0)
+
+
+def boxes_by_hand(box):
+    pair = lambda a, b: max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+    return sum(pair(a, b) for k, a in enumerate(box) for b in box[:k])
+
+
+@pytest.mark.parametrize("kind", ["whole", "real", "sparse", "equal"])
+def test_areas_against_brute_force(monkeypatch, kind):
+    monkeypatch.setattr(areas, "CELLS", 50)
+    r = np.random.default_rng(5)
+    wide = 3 if kind == "sparse" else 30
+    low = r.integers(0, 60, (2, 40)) if kind != "real" else r.random((2, 40)) * 60
+    box = np.concatenate([low, low + (r.integers(1, wide, (2, 40)) if kind != "real" else r.random((2, 40)) * wide)]).astype(float)
+    often = r.integers(1, 4, 40) if kind == "equal" else np.ones(40)
+    every = np.repeat(box, often.astype(int), axis=1)
+    assert areas.pair_area(box, often) == pytest.approx(boxes_by_hand(every.T.tolist())) == areas.pair_area(every)
+    if kind != "real":
+        cells = {(x, y) for a, b, c, d in box.T.astype(int).tolist() for x in range(a, c) for y in range(b, d)}
+        assert areas.union_area(box) == areas.union_area(every) == len(cells)
+
+
+def test_a_page_of_many_boxes():
+    r = np.random.default_rng(6)
+    low = r.integers(0, 500, (2, 30_000)).astype(float)
+    box = np.concatenate([low, low + r.integers(100, 200, low.shape)])
+    began = time.time()
+    assert areas.pair_area(box) > areas.union_area(box) > 0
+    assert time.time() - began < 5  # pair by pair it is more than a minute
+
+
+def test_overlap_needs_no_join(spark):
+    rows = [(k % 2 if k else None, k % 3, k % 5, k % 3 + 4, k % 5 + 6) for k in range(40)]
+    out = signals.bbox_overlap(spark.createDataFrame(rows, "page int, x0 int, y0 int, x1 int, y1 int"), ["page"])
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {x.page: (x.area, x.overlap) for x in out.collect()}
+    assert got == {None: (24.0, 0.0)} | {p: (24.0 * sum(x[0] == p for x in rows), float(boxes_by_hand([x[1:] for x in rows if x[0] == p]))) for p in (0, 1)}
