@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 from folio_spark.functions import classify as C
 from folio_spark.functions import text as T
 from folio_spark.operators import blocks as B
-from folio_spark.operators import corpus, identity, layout, tables
+from folio_spark.operators import areas, corpus, identity, layout, tables
 from folio_spark.operators.signals import with_text_signals
 from folio_spark.session import ship
 from folio_spark.sources import pages as P
@@ -71,39 +67,13 @@ def assemble(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     return d.join(corpus.document_diagnostics(pages).withColumnRenamed("pages", "page_count"), "doc")
 
 
-@F.pandas_udf(S.DoubleType())
-def covered(boxes: pd.Series) -> pd.Series:
-    """The area of the union of a page's boxes (x0, y0, x1, y1), by vertical strips."""
-
-    def union(own) -> float:
-        own = [(min(b["x0"], b["x1"]), min(b["y0"], b["y1"]), max(b["x0"], b["x1"]), max(b["y0"], b["y1"])) for b in own if b is not None]
-        own = [b for b in own if all(map(math.isfinite, b)) and b[2] > b[0] and b[3] > b[1]]
-        xs, total = sorted({x for b in own for x in (b[0], b[2])}), 0.0
-        for a, z in zip(xs, xs[1:]):
-            top = None
-            for y0, y1 in sorted((b[1], b[3]) for b in own if b[0] <= a and b[2] >= z):
-                start = y0 if top is None else max(y0, top)
-                total += max(0.0, y1 - start) * (z - a)
-                top = y1 if top is None else max(top, y1)
-        return total
-
-    return pd.Series([0.0 if x is None else union(x) for x in boxes])
-
-
-@F.pandas_udf(S.DoubleType())
-def overlap_area(spans: pd.Series) -> pd.Series:
-    """The pairwise intersections of a page's span boxes, summed; a sweep along x. Blank spans and empty boxes don't count."""
+#: The area of the union of a page's boxes.
+covered = areas.covered
 
-    def shared(own) -> float:
-        own = sorted((s["x0"], s["y0"], s["x1"], s["y1"]) for s in own if s is not None and (s["text"] or "").strip() and s["x1"] > s["x0"] and s["y1"] > s["y0"])
-        total, open_ = 0.0, []
-        for b in own:
-            open_ = [c for c in open_ if c[2] > b[0]]
-            total += sum((min(b[2], c[2]) - b[0]) * max(0.0, min(b[3], c[3]) - max(b[1], c[1])) for c in open_)
-            open_.append(b)
-        return total
 
-    return pd.Series([0.0 if x is None else shared(x) for x in spans])
+def overlap_area(spans: str) -> F.Column:
+    """The pairwise intersections of a page's span boxes, summed. Blank spans and empty boxes don't count."""
+    return areas.overlap_area(F.filter(spans, lambda s: s["text"].rlike(r"[^\p{IsWhite_Space}\x1c-\x1f]")))
 
 
 def overlapping(spans: str = "spans") -> F.Column:

@@ -99,16 +99,20 @@ def header_density(spark, sf_dir):
 @query(SQL["image_coverage"])
 def stacked_images(spark, sf_dir):
     """The union of a page's image boxes as the page pipeline takes it."""
+    ship(spark)
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     x, y = F.floor(o * 7 % 500 / 10), F.floor(c * 11 % 700 / 10)
     b = table(spark, sf_dir, "orders").select((o % 500).alias("page"), *[v.cast("double").alias(k) for k, v in (("x0", x), ("y0", y), ("x1", x + 1 + o % 6), ("y1", y + 1 + c % 5))])
+    b = b.distinct()  # an equal box covers nothing more
     return b.groupBy("page").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("b")).select("page", pipeline.covered("b").cast("long").alias("covered"))
 
 
 @query(SQL["bbox_overlap"])
 def span_overlap(spark, sf_dir):
-    """Area and overlap of a page's spans, by the sweep of the page pipeline, against the range join's SQL."""
-    b = boxes(spark, sf_dir).groupBy("page").agg(F.collect_list(F.struct(F.lit("x").alias("text"), *[F.col(k).cast("double").alias(k) for k in ("x0", "y0", "x1", "y1")])).alias("s"))
+    """Area and overlap of a page's spans, as the page pipeline takes them, against the range join's SQL."""
+    ship(spark)
+    # a number of partitions that isn't merged again: a task's pages go to Python together
+    b = boxes(spark, sf_dir).repartition(max(200, int(spark.conf.get("spark.sql.shuffle.partitions"))), "page").groupBy("page").agg(F.collect_list(F.struct(F.lit("x").alias("text"), *[F.col(k).cast("double").alias(k) for k in ("x0", "y0", "x1", "y1")])).alias("s"))
     area = F.aggregate("s", F.lit(0.0), lambda a, x: a + (x["x1"] - x["x0"]) * (x["y1"] - x["y0"]))
     return b.select("page", area.cast("long").alias("area"), pipeline.overlap_area("s").cast("long").alias("overlap"))
 
