@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio_spark.functions import text as T
+from folio_spark.session import spread
 
 
 def check(expected: Column, actual: Column, name: str) -> Column:
@@ -68,11 +72,13 @@ def table_windows(rows: DataFrame, table: list[str], index: str, cells: str, len
 
 
 def table_score(expected: DataFrame, actual: DataFrame, table: list[str]) -> DataFrame:
-    """table, matched, expected_cells, actual_cells, precision, recall, f1 over (row, column, text) cells with multiplicity by text."""
-    e = expected.groupBy(*table, "text").agg(F.count("*").alias("e"))
-    a = actual.groupBy(*table, "text").agg(F.count("*").alias("a"))
-    j = e.join(a, [*table, "text"], "full").na.fill(0, ["e", "a"])
-    out = j.groupBy(*table).agg(F.sum(F.least("e", "a")).alias("matched"), F.sum("e").alias("expected_cells"), F.sum("a").alias("actual_cells"))
+    """table, matched, expected_cells, actual_cells, precision, recall, f1 over (row, column, text) cells with multiplicity by text.
+    One shuffle by table for both sides, in partitions of a bounded number of cells."""
+    own = lambda d, e, a: d.select(*table, "text", F.lit(e).alias("e"), F.lit(a).alias("a"))
+    both = spread(own(expected, 1, 0).unionByName(own(actual, 0, 1)), expected.count() + actual.count(), *table)
+    cells = both.groupBy(*table, "text").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    known = reduce(and_, [F.col(k).isNotNull() for k in (*table, "text")])  # null equals nothing
+    out = cells.groupBy(*table).agg(F.sum(F.when(known, F.least("e", "a")).otherwise(0)).alias("matched"), F.sum("e").alias("expected_cells"), F.sum("a").alias("actual_cells"))
     out = out.withColumns({"precision": T.ratio(F.col("matched"), F.col("actual_cells"), 1.0), "recall": T.ratio(F.col("matched"), F.col("expected_cells"), 1.0)})
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 

@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of a partition, about, where a task's memory grows with them.
+PART_ROWS = 500_000
 _PACKAGE = Path(__file__).resolve().parent
 
 
@@ -58,3 +60,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def parts_of(rows: int) -> int:
+    return max(1, -(-rows // PART_ROWS))
+
+
+def spread(df: DataFrame, rows: int, *keys) -> DataFrame:
+    """df by keys in as many partitions as its rows ask for: merging small partitions goes by compressed bytes, of which narrow rows have few."""
+    return df.repartition(parts_of(rows), *keys)

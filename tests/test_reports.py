@@ -1,13 +1,16 @@
 """Tables of data sheets in text, captions, and the joins and roll-ups of evaluation in cases that the test tables don't hold."""
 
 import math
+import random
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio_spark.operators import areas, blocks, datasheets, reports, signals, tables
+from folio_spark import session
+from folio_spark.operators import areas, blocks, corpus, datasheets, evaluate, reports, signals, tables
 from folio_spark.plans import pipeline
 
 
@@ -110,3 +113,27 @@ def test_overlap_needs_no_join(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     got = {x.page: (x.area, x.overlap) for x in out.collect()}
     assert got == {None: (24.0, 0.0)} | {p: (24.0 * sum(x[0] == p for x in rows), float(boxes_by_hand([x[1:] for x in rows if x[0] == p]))) for p in (0, 1)}
+
+
+def test_table_score_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(session, "PART_ROWS", 20, raising=False)
+    r = random.Random(3)
+    rows = lambda: [(r.choice([1, 2, 3, None]), r.choice(["a", "b", "c", None])) for _ in range(60)]
+    e, a = rows(), rows()
+    out = evaluate.table_score(*[spark.createDataFrame(x, "t int, text string") for x in (e, a)], ["t"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1 and "hashpartitioning(t#" in plan and ", 6), REPARTITION_BY_NUM" in plan
+    both = Counter(x for x in e if None not in x) & Counter(x for x in a if None not in x)  # null equals nothing
+    want = {t: (sum(n for x, n in both.items() if x[0] == t), sum(x[0] == t for x in e), sum(x[0] == t for x in a)) for t in (1, 2, 3, None)}
+    assert {x.t: (x.matched, x.expected_cells, x.actual_cells) for x in out.collect()} == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 30, 101])
+def test_wall_of_documents_in_ranges(spark, monkeypatch, n):
+    monkeypatch.setattr(session, "PART_ROWS", 7, raising=False)
+    r = random.Random(n)
+    rows = [(k * 3, r.choice([None, 1, 5, 9, 40])) for k in range(n)]
+    out = corpus.corpus_wall(spark.createDataFrame(r.sample(rows, n), "k int, w int"), "w", ["k"], 4)
+    assert "row_number" not in out._jdf.queryExecution().executedPlan().toString()  # no window over all documents
+    chunks = [[w for _, w in rows[a : a + 4] if w is not None] for a in range(0, n, 4)]
+    assert tuple(out.head()) == (sum(max(c) for c in chunks if c), len(chunks))
