@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio_spark.functions.classify import FLAGS, ROUTES
 from folio_spark.functions.text import category_or_default
+from folio_spark.session import parts_of, spread, written
 
 
 def route_counts(pages: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -65,9 +66,16 @@ def category_coverage(docs: DataFrame, category: str, required: DataFrame) -> Da
 
 
 def corpus_wall(docs: DataFrame, wall: str, order: list[str], workers: int) -> DataFrame:
-    """One row: documents in chunks of `workers`, sum of each chunk's longest wall time."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    chunks = docs.select(F.floor(n / workers).alias("chunk"), F.col(wall).alias("w")).groupBy("chunk").agg(F.max("w").alias("w"))
+    """One row: documents in chunks of `workers`, sum of each chunk's longest wall time. Documents are ranked in ranges of the
+    order, each sorted by a task of its own, and the ranges' counts are added up."""
+    count = docs.count()
+    ranged = docs.select(*order, F.col(wall).alias("w")).repartitionByRange(parts_of(count), *order).sortWithinPartitions(*order)
+    ranged = written(ranged.select("w", F.monotonically_increasing_id().alias("at")), "ranged")  # the range's number, and the row's in it
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(2**33 - 1)
+    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each range
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    chunks = ranged.join(F.broadcast(before), part == F.col("part")).select(F.floor((F.col("before") + row) / workers).alias("chunk"), "w")
+    chunks = spread(chunks, count, "chunk").groupBy("chunk").agg(F.max("w").alias("w"))
     return chunks.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("wall"), F.count("*").alias("chunks"))
 
 
