@@ -36,7 +36,7 @@ def lines(c: Column) -> Column:
 
 
 def filled_lines(c: Column) -> Column:
-    return F.filter(F.split(c, "\n", -1), lambda x: trimmed(x) != "")
+    return F.filter(F.split(c, "\n", -1), lambda x: x.rlike(r"\P{IsWhite_Space}"))
 
 
 def span_count(text: Column, positioned: Column | None = None) -> Column:
@@ -48,7 +48,7 @@ def span_count(text: Column, positioned: Column | None = None) -> Column:
 def duplicate_chars(c: Column) -> Column:
     """Characters other than white space that equal the one before (white space left out)."""
     s = dense(c)
-    return (F.length(s) - F.length(F.regexp_replace(s, r"(?s)(.)\1*", "x"))).cast("long")
+    return (F.length(s) - F.length(F.regexp_replace(s, r"(?s)(.)\1+", "$1"))).cast("long")
 
 
 def broken_chars(c: Column) -> Column:
@@ -57,7 +57,7 @@ def broken_chars(c: Column) -> Column:
 
 
 def table_chars(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, r"[^|\t+\-]", "")).cast("long")
+    return F.length(F.regexp_replace(c, r"[^|\t+\-]+", "")).cast("long")
 
 
 def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -96,8 +96,8 @@ TABLE_HEADERS = tuple(f"parameter {x} min typ max unit" for x in ("test conditio
 
 
 def table_header(c: Column) -> Column:
-    """Whether a line is an explicit table header."""
-    return F.exists(F.split(c, "\n", -1), lambda x: header_line(x).isin(*TABLE_HEADERS))
+    """Whether a line is an explicit table header. Lines are looked at only in texts with the first word of all headers."""
+    return F.contains(F.lower(c), F.lit("parameter")) & F.exists(F.split(c, "\n", -1), lambda x: header_line(x).isin(*TABLE_HEADERS))
 
 
 def table_density(c: Column) -> Column:

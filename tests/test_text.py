@@ -143,3 +143,15 @@ def test_overlap_and_union_against_loops(spark):
         cells = [{(i, j) for i in range(int(a[0]), int(a[2])) for j in range(int(a[1]), int(a[3]))} for a in b]
         assert got[p] == (sum(map(len, cells)), sum(len(cells[i] & cells[j]) for i in range(len(b)) for j in range(i)))
         assert union[p] == len(set().union(*cells))
+
+
+def test_signals_of_odd_and_long_texts(spark):
+    odd = ["", " ", "\x1c", "aab\tb c||--", "😀😀😀 a😀", "\u2003x\u2003", "a\n\n \nb", "Parameter, Symbol (Conditions) MIN Typ. Max: Unit", "x\nPARAMETER test condition min typ max unit", "parameter"]
+    d = spark.createDataFrame([(x,) for x in odd], "t string").select("t", T.duplicate_chars(F.col("t")), T.table_chars(F.col("t")), F.size(T.filled_lines(F.col("t"))), T.table_header(F.col("t")))
+    white = lambda c: c.isspace() and c not in "\x1c\x1d\x1e\x1f"
+    for t, doubled, marks, filled, header in d.collect():
+        s = [c for c in t if not white(c)]
+        assert (doubled, marks, filled) == (sum(a == b for a, b in zip(s, s[1:])), sum(c in "|\t+-" for c in t), sum(any(not white(c) for c in x) for x in t.split("\n")))
+        assert header == (t in odd[7:9])
+    plan = spark.range(1).select(T.table_header(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "parameter" in plan.split("exists")[0]  # lines are looked at only in texts with a header's first word
